@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, packing, simhash
+from . import dedup, html, mixing, packing, rules, simhash, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_table(spark, folder, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = dedup.DigestIndex(spark).deduplicate(_table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -28,13 +32,23 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op5_rules(spark: SparkSession, folder: str) -> DataFrame:
+    entries = rules.ledger(_table(spark, folder, "documents"))
+    base = ~rules.passes("base")
+    return entries.select("doc_id", *rules.MEASURES[:5], base.alias("base_failed"), rules.passes().alias("kept"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.read(spark, token_files.write(_table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_simhash, op4_packing, op8_mixing)}
+    return {f.__name__: f for f in (op1_html, op2_exact_dedup, op3_simhash, op4_packing, op5_rules, op8_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": dedup.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op2_exact_dedup": dedup.ORACLE, "op5_rules": rules.ORACLE, "op8_mixing": mixing.ORACLE}

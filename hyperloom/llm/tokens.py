@@ -35,7 +35,8 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self.size = self._tokenizer.get_vocab_size()
+        self._ends = np.zeros(self.size, bool)
         if suffix := model.get("end_of_word_suffix"):
             self._ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self._words: dict[bytes, bytes] = {}
