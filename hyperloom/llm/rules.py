@@ -16,7 +16,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "20 * n_symbols > 3 * n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines",
     "capitals": "2 * n_upper > n_letters",
     "exclamations": "4 * n_marks > n_words",
     "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
