@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, html, mixing, packing, pii, rules, simhash, token_files
+from . import classifier, dedup, html, language, mixing, packing, pii, rules, simhash, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_rules(spark: SparkSession, folder: str) -> DataFrame:
     return entries.select("doc_id", *rules.MEASURES[:5], base.alias("base_failed"), rules.passes().alias("kept"))
 
 
+def op6_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.sanitisation(_table(spark, folder, "documents"))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
@@ -49,12 +53,16 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, token_files.write(_table(spark, folder, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_exact_dedup, op3_simhash, op4_packing, op5_rules, op7_pii, op8_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_html, op2_exact_dedup, op3_simhash, op4_packing, op5_rules, op6_classifier, op7_pii, op8_mixing, op9_language, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
