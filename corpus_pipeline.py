@@ -1,21 +1,71 @@
-"""A corpus pipeline over documents, stage by stage."""
+"""A corpus pipeline over documents: language, exact and near duplicates, mixing, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from hyperloom.llm import packing
-from hyperloom.llm.shared import stored
+from hyperloom.llm import dedup, language, mixing, packing, simhash
+from hyperloom.llm.rules import words_of
+from hyperloom.llm.shared import keep_ids, stored
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents in no known language go. A doc_id goes if all its rows are rejected; rows without one stay."""
+    found = stored(language.identify(docs).select("doc_id", "kept"), "languages")
+    bad = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return keep_ids(docs, stored(bad, "rejected"), keep=False)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2 against a new index: of equal texts one row stays. Where a doc_id repeats or is null, its rows are
+    known by their texts' digests too, and of equal ones the longest stays."""
+    found = stored(dedup.DigestIndex(spark).deduplicate(docs).select("doc_id", "kept", "text_sha256"), "found")
+    again = stored(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
+    stays = found.where("kept")
+    plain = keep_ids(docs, stored(keep_ids(stays, again, keep=False).select("doc_id"), "stays"))
+    rare = docs.where("doc_id IS NULL").unionByName(keep_ids(docs, again))
+    rare = rare.withColumn("_digest", dedup.digest())
+    first = Window.partitionBy("doc_id", "_digest").orderBy(F.length("text").desc())
+    rare = rare.withColumn("_first", F.row_number().over(first)).where("_first = 1")
+    ids = stays.select(F.col("doc_id").alias("_id"), "text_sha256")
+    rare = rare.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("text_sha256")), "left_semi")
+    return plain.unionByName(rare.select(*docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each class of near duplicates the document with the smallest doc_id stays; rows without one stay."""
+    found = simhash.near_duplicates(docs)
+    bad = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "near")
+    return keep_ids(docs, bad, keep=False)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: a row for each time that the mix takes a document; one taken in part is cut after the words taken, which
+    single spaces then join. Repeated rows share equally what they take."""
+    own = docs.withColumn("_uid", F.xxhash64("doc_id", "source", "text"))
+    taken = mixing.mix(own.select(F.col("_uid").alias("doc_id"), "source", "text")).groupBy(F.col("doc_id").alias("_uid"))
+    taken = taken.agg(F.first("size").alias("_size"), F.floor(F.sum("taken") / F.count("*")).cast("int").alias("_taken")).where("_taken > 0")
+    times = F.array_repeat(F.col("_size"), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
+    part = F.col("_taken") % F.col("_size")
+    taken = taken.select("_uid", "_size", F.explode(F.concat(times, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))).alias("_words"))
+    rows = own.join(taken.hint("shuffle_hash"), "_uid")
+    cut = F.col("_words") < F.col("_size")
+    rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens in sequences of 2048 (operator 4)."""
+    """Operator 4: every document's tokens in sequences of 2048."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mix), ("packing", pack)]
 
-#: Language models of the corpus, fingerprints and tokens can't be had in SQL; tests/llm compares with brute force.
+#: The text model of language ID, fingerprints and tokens can't be had in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
