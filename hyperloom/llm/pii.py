@@ -33,8 +33,6 @@ LETTERS = r"\p{L}{3,}"
 #: A term reveals an entity if it is near it in so many different contexts, if so large a share of the term's documents
 #: have the entity near it, and if it raises the entity's probability by so many bits.
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
-#: Most candidate terms that are broadcast, after a count, to count their documents; more are counted with all terms.
-MOST_TERMS = 500_000
 
 _BLOCK = 64
 _AROUND = rf"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{0,{CONTEXT}}}"
@@ -138,7 +136,7 @@ def occurrences(found: DataFrame) -> DataFrame:
     return one.select("row", "doc_id", "entity", "context", F.xxhash64("entity", "t.term").alias("pair"), F.xxhash64("t.term").alias("term"), "t.start", "t.end")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS, most: int = MOST_TERMS) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """pair, term, entity, share, bits for each term that reveals an entity.
 
     share is P(entity near | term in the document) and bits the logarithm of its ratio to P(entity), both counted over
@@ -147,12 +145,8 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, min_contexts
     distinct = near.select("pair", "term", "entity", "context").distinct().groupBy("pair", "term", "entity").agg(F.count("*").alias("contexts"))
     rows = near.select("pair", "row").distinct().groupBy("pair").agg(F.count("*").alias("together"))
     candidates = stored(distinct.where(F.col("contexts") >= min_contexts).join(rows, "pair"), "candidates")
-    wanted = candidates.select("term").distinct()
     terms = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text_of()), F.lit(LETTERS), F.lit(0)), lambda t: F.xxhash64(t)))
-    terms = docs.select(F.explode(terms).alias("term"))
-    if wanted.count() <= most:
-        terms = terms.join(F.broadcast(wanted), "term", "left_semi")
-    terms = terms.groupBy("term").agg(F.count("*").alias("with_term"))
+    terms = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     entity = found.select("row", F.explode("found").alias("m")).select("row", F.xxhash64("m.kind", "m.value").alias("entity")).distinct()
     entity = entity.groupBy("entity").agg(F.count("*").alias("with_entity"))
     all_rows = found.count()
