@@ -26,7 +26,10 @@ class DigestIndex:
         self.spark = spark
         self.name = name or f"digest_index_{secrets.token_hex(8)}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(self.name):
+        if spark.catalog.tableExists(self.name):
+            told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
+            self.buckets = int(told["Num Buckets"])
+        else:
             self.append(spark.createDataFrame([], "digest binary, keep_id long, batch long"))
 
     def read(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import HEAVY, lookup, stored, text_of
+from .shared import HEAVY, keep_ids, lookup, stored, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -107,13 +107,14 @@ class GolayAnchors:
         (a, _), (b, _) = self.halves(fp)
         return a << INFO | b
 
-    def near(self, fp):
-        """(position in fp, anchor) of each further anchor to which a fingerprint is replicated."""
+    def near(self, fp, reach: int = BITS):
+        """(position in fp, anchor) of each further anchor to which a fingerprint is replicated: those within the covering
+        radius plus ``reach``, as 3 + i and 3 + j bits of the halves with i + j <= reach."""
         import numpy as np
 
         (a, s), (b, t) = self.halves(fp)
         at = np.arange(len(fp))
-        for i, j in ((0, 1), (0, 2), (1, 0), (2, 0), (1, 1)):
+        for i, j in [(i, j) for i in range(reach + 1) for j in range(reach + 1 - i) if i + j]:
             x = self.more[i][s] if i else np.zeros((len(fp), 1), "i8")
             y = self.more[j][t] if j else np.zeros((len(fp), 1), "i8")
             x, y = x[:, :, None], y[:, None, :]
@@ -232,6 +233,140 @@ def links(classes: DataFrame, homes: int = HOMES) -> DataFrame:
     return dealt.repartition("place").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
+#: Fingerprints of the word sets by which similar texts are found, and the differing bits of all together that still count.
+SETS, SET_BITS = 4, 40
+WORDS, SIMILARITY = 5, 0.8
+
+
+def set_prints(docs: DataFrame) -> DataFrame:
+    """doc_id and w0.. w3: SimHashes of the set of a text's words, each from another mixing of the words' hashes. Rows
+    without doc_id or words have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        odd = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & (1 << 64) - 1) for k in range(SETS)]
+        for batch in batches:
+            ids, prints = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                words = set(text.as_py().lower().split())
+                if not words:
+                    continue
+                hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in words), "u8", len(words))
+                found = []
+                for m in odd:
+                    x = hashes * m
+                    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                    ones = np.unpackbits((x ^ x >> np.uint64(32)).view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype="i4")
+                    found.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "little", signed=True))
+                ids.append(doc)
+                prints.append(found)
+            columns = [pa.array(ids, pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in range(SETS))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"w{k}" for k in range(SETS))])
+
+    schema = "doc_id long, " + ", ".join(f"w{k} long" for k in range(SETS))
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
+
+
+def partners(prints: DataFrame) -> DataFrame:
+    """doc_id, partner: for each document the most similar one with a smaller doc_id, by the bits of all its fingerprints,
+    among those that differ in at most BITS bits of one; ``prints`` is stored.
+
+    A fingerprint is dealt to its anchors within the covering radius plus 1, to compare with and to be compared; two that
+    differ in 2 bits have a word between them, whose anchor both so reach. Each place gives a document one partner at
+    most, so that a large class never makes pairs.
+    """
+    names = [f"w{k}" for k in range(SETS)]
+    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "set-classes")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        anchors = GolayAnchors()
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                wide = [batch.column(i).slice(at, 4096).to_numpy(zero_copy_only=False) for i in range(SETS + 1)]
+                for k in range(SETS):
+                    everyone = np.arange(len(wide[k]))
+                    for i, anchor in [(everyone, anchors.home(wide[k])), *anchors.near(wide[k], 1)]:
+                        columns = [pa.array(anchor << 2 | k), *(pa.array(c[i]) for c in wide)]
+                        yield pa.RecordBatch.from_arrays(columns, ["place", *names, "rep"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by place; those of the last place are held until the next one begins, up to HOMES; of a place
+        with more, each row meets the HOMES before it, and places are entered by all four fingerprints."""
+        import numpy as np
+
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            first = 0 if held is None else len(held[0])
+            place, *wide, rep = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            lo = np.searchsorted(place, place, "left")
+            mine = np.arange(first, len(place))
+            n = mine - lo[mine]
+            upto, at, found = np.concatenate(([0], np.cumsum(n))), 0, []
+            while at < len(mine):
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + 2_000_000, "right")) - 1)
+                i = np.repeat(mine[at:to], n[at:to])
+                j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n[at:to]) + lo[i]
+                bits = [np.bitwise_count((w[i] ^ w[j]).view("u8")).astype("i8") for w in wide]
+                own, total = np.choose(place[i] & 3, bits), sum(bits)
+                ok = (own <= BITS) & (total <= SET_BITS) & (rep[i] != rep[j])
+                if ok.any():
+                    a, b = rep[i[ok]], rep[j[ok]]
+                    found.append((np.maximum(a, b), np.minimum(a, b), total[ok]))
+                at = to
+            if found:
+                doc, partner, total = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((partner, total, doc))
+                doc, partner, total = doc[order], partner[order], total[order]
+                best = np.concatenate(([True], doc[1:] != doc[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (doc, partner, total)], ["doc_id", "partner", "total"])
+            last = np.flatnonzero(place == place[-1])[-HOMES:]
+            held = [x[last] for x in (place, *wide, rep)]
+
+    dealt = classes.select(*names, "rep").mapInArrow(deal, "place long, " + ", ".join(f"{n} long" for n in names) + ", rep long")
+    near = dealt.repartition("place").sortWithinPartitions("place", "rep").mapInArrow(compare, "doc_id long, partner long, total long")
+    near = near.groupBy("doc_id").agg(F.min(F.struct("total", "partner")).alias("best")).select("doc_id", "best.partner")
+    same = prints.join(classes, names).where("doc_id != rep").select("doc_id", F.col("rep").alias("partner"))
+    return near.unionByName(same)
+
+
+def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id and shingles: the hashes of the text's different shingles of ``words`` words, A-Z lowered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        def of(text: bytes) -> list[int]:
+            w = text.lower().split()
+            parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else (b" ".join(w),) if w else ()
+            return list({xxh64_intdigest(p, SEED) - (1 << 63) for p in parts})
+
+        for batch in batches:
+            found = pa.array([of(t.as_py()) for t in batch.column(1).cast(pa.large_binary())], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, partner: documents whose partner's shingles of five words are similar to theirs (shared to all) by at least
+    ``similarity``, checked exactly. The partner's doc_id is smaller, so that of documents that such links join the
+    smallest is never listed. Rows without doc_id or words are left out; of a doc_id's rows any may stand for it."""
+    pairs = stored(partners(stored(set_prints(docs), "sets")), "partners")
+    named = stored(pairs.select("doc_id").union(pairs.select("partner")).distinct(), "named")
+    sets = stored(shingle_sets(keep_ids(docs, named)).dropDuplicates(["doc_id"]), "shingles")
+    mine = pairs.join(sets, "doc_id")
+    both = mine.join(sets.select(F.col("doc_id").alias("partner"), F.col("shingles").alias("other")), "partner")
+    shared = F.size(F.array_intersect("shingles", "other"))
+    return both.where(shared >= similarity * (F.size("shingles") + F.size("other") - shared)).select("doc_id", "partner")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, homes: int = HOMES) -> DataFrame:
     """doc_id, fp, component_id and group_size (rows of the same fingerprint) for each row of ``docs``.
 
