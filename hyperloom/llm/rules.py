@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, text_of
+from .shared import SPACE, let, text_of
 
 WINDOW = 3
 SYMBOLS = "[#*$%&|<>]"
@@ -37,40 +37,45 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
-def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the measurements of each row's whole text.
+def _repeated(words: Column) -> Column:
+    """Words that stand in a window of WINDOW words found twice or more, its first place included. Windows are compared by
+    their 64-bit hashes, sorted; an array without a repeated window, which a hash set tells, isn't sorted."""
+    none = F.lit(0).cast("long")
 
-    n_repeat_words counts the words that stand in a window of three words found twice or more in the text, its first
-    place included. Windows are compared by their 64-bit hashes, sorted within the text; a text without a repeated
-    window, which a hash set tells, isn't sorted. Lines count if they have a word.
-    """
+    def of(windows: Column) -> Column:
+        def twice(pairs: Column) -> Column:
+            same = lambda x, j: (F.get(pairs, j - 1)["h"] == x["h"]) | (F.get(pairs, j + 1)["h"] == x["h"])
+            places = F.array_sort(F.array_compact(F.transform(pairs, lambda x, j: F.when(same(x, j), x["i"]))))
+            next_ = lambda p, i: F.coalesce(F.get(p, i + 1) - F.get(p, i), F.lit(WINDOW))
+            covered = lambda p: F.aggregate(F.transform(p, lambda _, i: F.least(F.lit(WINDOW), next_(p, i))), none, lambda a, x: a + x)
+            return let(places, covered)
+
+        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(pairs, twice)).otherwise(none)
+
+    starts = F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+    return let(F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WINDOW)))), of)
+
+
+def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and the measurements of each row's whole text. Lines count if they have a word."""
     df = docs.select(*keep, text_of().alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", lines)
-    df = df.select(
-        *keep, "_words",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+    counts = lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeated(w).alias("repeated"))
+    of_lines = lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("different"))
+    df = df.withColumn("_w", let(words_of(F.col("_text")), counts)).withColumn("_l", let(lines, of_lines))
+    return df.select(
+        *keep,
+        F.col("_w.n").cast("long").alias("n_words"),
+        F.col("_w.chars").cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        (F.col("_l.n") - F.col("_l.different")).cast("long").alias("n_dup_lines"),
+        F.col("_w.repeated").alias("n_repeat_words"),
+        F.col("_l.n").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace("_text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
         F.regexp_count("_text", F.lit("!")).cast("long").alias("n_marks"),
     )
-    at = lambda a, i: F.get(F.col(a), i)
-    starts = F.slice("_words", 1, F.greatest(F.size("_words") - (WINDOW - 1), F.lit(0)))
-    df = df.withColumn("_windows", F.transform(starts, lambda w, i: F.xxhash64(w, *(at("_words", i + k) for k in range(1, WINDOW)))))
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    paired = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.drop("_words").withColumn("_sorted", F.when(repeats, paired)).drop("_windows")
-    same = lambda x, j: (at("_sorted", j - 1)["h"] == x["h"]) | (at("_sorted", j + 1)["h"] == x["h"])
-    places = F.array_sort(F.array_compact(F.transform("_sorted", lambda x, j: F.when(same(x, j), x["i"]))))
-    df = df.withColumn("_places", F.when(F.col("_sorted").isNotNull(), places)).drop("_sorted")
-    covered = F.transform("_places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(at("_places", k + 1) - p, F.lit(WINDOW))))
-    total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long")))
-    return df.select(*keep, *MEASURES)
 
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

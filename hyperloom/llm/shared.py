@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most HEAVY keys can each hold more than 1/HEAVY of all rows, so a table of them is safe to broadcast.
@@ -48,6 +49,12 @@ def text_of(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row. A column named in a lambda isn't safe: where a filter is pushed
+    below the projection that makes it, its expression is computed for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lookup(rows: DataFrame, by_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``by_key``, which has one row a key and in ``n`` the key's number of rows.
 
