@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -236,6 +236,8 @@ def links(classes: DataFrame, homes: int = HOMES) -> DataFrame:
 #: Fingerprints of the word sets by which similar texts are found, and the differing bits of all together that still count.
 SETS, SET_BITS = 4, 40
 WORDS, SIMILARITY = 5, 0.8
+NAMES = [f"w{k}" for k in range(SETS)]
+PRINTS = ", ".join(f"{name} long" for name in NAMES)
 
 
 def set_prints(docs: DataFrame) -> DataFrame:
@@ -263,39 +265,128 @@ def set_prints(docs: DataFrame) -> DataFrame:
                 ids.append(doc)
                 prints.append(found)
             columns = [pa.array(ids, pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in range(SETS))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"w{k}" for k in range(SETS))])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *NAMES])
 
-    schema = "doc_id long, " + ", ".join(f"w{k} long" for k in range(SETS))
+    schema = f"doc_id long, {PRINTS}"
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
 
 
-def partners(prints: DataFrame) -> DataFrame:
-    """doc_id, partner: for each document the most similar one with a smaller doc_id, by the bits of all its fingerprints,
-    among those that differ in at most BITS bits of one; ``prints`` is stored.
+#: A similar text is sought among this many nearest at first, and among NEXT times as many where none of them is one.
+FIRST, NEXT = 1, 64
+#: Anchors to which a fingerprint is dealt at most (home, and five more for each half), of all its fingerprints.
+ANCHORS = 11 * SETS
+#: Documents whose places are few enough to broadcast.
+FEW = 10_000
 
-    A fingerprint is dealt to its anchors within the covering radius plus 1, to compare with and to be compared; two that
-    differ in 2 bits have a word between them, whose anchor both so reach. Each place gives a document one partner at
-    most, so that a large class never makes pairs.
-    """
-    names = [f"w{k}" for k in range(SETS)]
-    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "set-classes")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal(prints: DataFrame, then, schema: str) -> DataFrame:
+    """``then`` (place, columns doc_id, w0.. w3, search) of what is dealt to each fingerprint's anchors within the covering
+    radius plus 1; two fingerprints that differ in 2 bits have a word between them, whose anchor both so reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         anchors = GolayAnchors()
         for batch in batches:
             for at in range(0, len(batch), 4096):
-                wide = [batch.column(i).slice(at, 4096).to_numpy(zero_copy_only=False) for i in range(SETS + 1)]
+                wide = [batch.column(i).slice(at, 4096).to_numpy(zero_copy_only=False) for i in range(SETS + 2)]
                 for k in range(SETS):
-                    everyone = np.arange(len(wide[k]))
-                    for i, anchor in [(everyone, anchors.home(wide[k])), *anchors.near(wide[k], 1)]:
-                        columns = [pa.array(anchor << 2 | k), *(pa.array(c[i]) for c in wide)]
-                        yield pa.RecordBatch.from_arrays(columns, ["place", *names, "rep"])
+                    everyone = np.arange(len(wide[0]))
+                    for i, anchor in [(everyone, anchors.home(wide[k + 1])), *anchors.near(wide[k + 1], 1)]:
+                        if len(i):
+                            yield then(anchor << 2 | k, [c[i] for c in wide])
+
+    return prints.select("doc_id", *NAMES, "search").mapInArrow(run, schema)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+def crowds(prints: DataFrame, homes: int = HOMES) -> dict[int, tuple]:
+    """The places to which more than ``homes`` rows are dealt (and over 1/HEAVY of all): number of rows, and the id and
+    fingerprints of the smallest doc_id there.
+
+    A place is a pair of codewords, and what is dealt to it has one of them at home. So only places are counted whose
+    codewords are those of so many rows; the codewords themselves are few.
+    """
+    spark = prints.sparkSession
+    most = max(homes, -(-prints.count() * ANCHORS // HEAVY))
+
+    def codewords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = GolayAnchors()
+        for batch in batches:
+            for k in range(SETS):
+                for side, (word, _) in enumerate(anchors.halves(batch.column(k).to_numpy(zero_copy_only=False))):
+                    yield _batch(word=(2 * k + side) << INFO | word)
+
+    counted = prints.select(*NAMES).mapInArrow(codewords, "word long").groupBy("word").count().where(F.col("count") > most // 2)
+    told = spark.sparkContext.broadcast({r[0]: r[1] for r in counted.collect()})  # of at most 8 << INFO
+    if not told.value:
+        return {}
+
+    def busy(place, wide):
+        import numpy as np
+
+        n = np.zeros(2 * SETS << INFO, "i8")
+        n[list(told.value)] = list(told.value.values())
+        k, anchor, low = place & 3, place >> 2, (1 << INFO) - 1
+        ok = n[2 * k << INFO | anchor >> INFO] + n[(2 * k + 1) << INFO | anchor & low] > most
+        return _batch(place=place[ok], doc_id=wide[0][ok], **{name: w[ok] for name, w in zip(NAMES, wide[1:])})
+
+    places = _deal(prints, busy, f"place long, doc_id long, {PRINTS}")
+    full = stored(places.groupBy("place").count().where(F.col("count") > most), "crowds")  # at most HEAVY
+    first = places.join(F.broadcast(full), "place").groupBy("place").agg(F.first("count").alias("n"), F.min(F.struct("doc_id", *NAMES)).alias("first"))
+    return {r["place"]: (r["n"], *r["first"]) for r in first.collect()}
+
+
+def leaders(prints: DataFrame, crowded: dict[int, tuple]) -> DataFrame:
+    """doc_id, partner: rows of crowded places with the smallest doc_id of such a place, where their fingerprints allow it;
+    of several the nearest. A narrow pass, which spares most of a large class the comparison with all of it."""
+    told = prints.sparkSession.sparkContext.broadcast(crowded)
+
+    def meet(place, wide):
+        import numpy as np
+
+        doc, *own, _ = wide
+        met = np.array(sorted((p, *c[1:]) for p, c in told.value.items()), "i8").reshape(-1, SETS + 2)
+        j = np.minimum(np.searchsorted(met[:, 0], place), len(met) - 1)
+        total = sum(np.bitwise_count((w ^ met[j, k + 2]).view("u8")).astype("i8") for k, w in enumerate(own))
+        ok = (met[j, 0] == place) & (met[j, 1] < doc) & (total <= SET_BITS)
+        return _batch(doc_id=doc[ok], partner=met[j, 1][ok], total=total[ok])
+
+    found = _deal(prints, meet, "doc_id long, partner long, total long")
+    return found.groupBy("doc_id").agg(F.min(F.struct("total", "partner")).alias("best")).select("doc_id", "best.partner")
+
+
+def candidates(prints: DataFrame, crowded: dict[int, tuple], most: int, homes: int = HOMES) -> DataFrame:
+    """doc_id, partner, more: for rows with ``search`` the ``most`` nearest documents of smaller doc_id by the bits of all
+    fingerprints, among all that differ in at most BITS bits of one and SET_BITS in all; ``more`` tells that there are more.
+
+    At a place, each row that searches is compared with all rows of smaller doc_id. A crowded place is split: its rows are
+    dealt to parts, and those that search go to each part.
+    """
+    spark = prints.sparkSession
+    told = spark.sparkContext.broadcast({p: -(-c[0] // homes) for p, c in crowded.items()})
+
+    def deal(place, wide):
+        import numpy as np
+
+        doc, *own, search = wide
+        split = np.array(sorted(told.value.items()), "i8").reshape(-1, 2)
+        n = np.ones(len(place), "i8")
+        if len(split):
+            j = np.minimum(np.searchsorted(split[:, 0], place), len(split) - 1)
+            n = np.where(split[j, 0] == place, split[j, 1], 1)
+        part = (doc * 0x9E3779B1 >> 20) % n
+        times = np.where(search, n, 1)
+        i = np.repeat(np.arange(len(place)), times)
+        at = np.where(search[i], np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times), part[i])
+        role = search[i] * 2 + (at == part[i])
+        return _batch(place=place[i] << 32 | at, role=role.astype("i8"), doc_id=doc[i], **{name: w[i] for name, w in zip(NAMES, own)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by place; those of the last place are held until the next one begins, up to HOMES; of a place
-        with more, each row meets the HOMES before it, and places are entered by all four fingerprints."""
+        """Rows come sorted by place and doc_id; those of the last place that can be met are held until the next begins."""
         import numpy as np
 
         held = None
@@ -303,37 +394,49 @@ def partners(prints: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            place, role, doc, *wide = now
+            met, probe = role & 1 > 0, np.flatnonzero(role > 1)
+            homes_of = [c[met] for c in (place, doc, *wide)]
             first = 0 if held is None else len(held[0])
-            place, *wide, rep = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            lo = np.searchsorted(place, place, "left")
-            mine = np.arange(first, len(place))
-            n = mine - lo[mine]
-            upto, at, found = np.concatenate(([0], np.cumsum(n))), 0, []
-            while at < len(mine):
+            if held is not None:
+                homes_of = [np.concatenate(x) for x in zip(held, homes_of)]
+            h_place, h_doc, *h_wide = homes_of
+            lo = np.searchsorted(h_place, place[probe], "left")
+            hi = np.maximum(first + (np.cumsum(met) - met)[probe], lo)  # the homes before the row
+            upto, at = np.concatenate(([0], np.cumsum(hi - lo))), 0
+            while at < len(probe):
                 to = max(at + 1, int(np.searchsorted(upto, upto[at] + 2_000_000, "right")) - 1)
-                i = np.repeat(mine[at:to], n[at:to])
-                j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n[at:to]) + lo[i]
-                bits = [np.bitwise_count((w[i] ^ w[j]).view("u8")).astype("i8") for w in wide]
-                own, total = np.choose(place[i] & 3, bits), sum(bits)
-                ok = (own <= BITS) & (total <= SET_BITS) & (rep[i] != rep[j])
+                n = (hi - lo)[at:to]
+                i = np.repeat(np.arange(at, to), n)
+                j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n) + lo[i]
+                bits = [np.bitwise_count((w[probe[i]] ^ h[j]).view("u8")).astype("i8") for w, h in zip(wide, h_wide)]
+                total = sum(bits)
+                own = np.choose(place[probe[i]] >> 32 & 3, bits) if len(i) else total
+                ok = (own <= BITS) & (total <= SET_BITS) & (doc[probe[i]] != h_doc[j])
                 if ok.any():
-                    a, b = rep[i[ok]], rep[j[ok]]
-                    found.append((np.maximum(a, b), np.minimum(a, b), total[ok]))
+                    i, partner, total = i[ok], h_doc[j[ok]], total[ok]
+                    order = np.lexsort((partner, total, i))
+                    i, partner, total = i[order], partner[order], total[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
+                    more = np.searchsorted(i, i, "right") - np.searchsorted(i, i, "left") > most
+                    near = rank < most
+                    yield _batch(doc_id=doc[probe[i[near]]], partner=partner[near], total=total[near], more=more[near])
                 at = to
-            if found:
-                doc, partner, total = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((partner, total, doc))
-                doc, partner, total = doc[order], partner[order], total[order]
-                best = np.concatenate(([True], doc[1:] != doc[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (doc, partner, total)], ["doc_id", "partner", "total"])
-            last = np.flatnonzero(place == place[-1])[-HOMES:]
-            held = [x[last] for x in (place, *wide, rep)]
-
-    dealt = classes.select(*names, "rep").mapInArrow(deal, "place long, " + ", ".join(f"{n} long" for n in names) + ", rep long")
-    near = dealt.repartition("place").sortWithinPartitions("place", "rep").mapInArrow(compare, "doc_id long, partner long, total long")
-    near = near.groupBy("doc_id").agg(F.min(F.struct("total", "partner")).alias("best")).select("doc_id", "best.partner")
-    same = prints.join(classes, names).where("doc_id != rep").select("doc_id", F.col("rep").alias("partner"))
-    return near.unionByName(same)
+            last = h_place == place[-1]
+            held = [c[last] for c in homes_of]
+
+    schema = f"place long, role long, doc_id long, {PRINTS}"
+    dealt = _deal(prints, deal, schema)
+    searching = prints.where("search")
+    if searching.count() <= FEW:
+        dealt = dealt.join(F.broadcast(_deal(searching, deal, schema).select("place").distinct()), "place", "left_semi")
+        dealt = dealt.select("place", "role", "doc_id", *NAMES)
+    found = dealt.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(compare, "doc_id long, partner long, total long, more boolean")
+    found = found.groupBy("doc_id", "partner").agg(F.min("total").alias("total"), F.bool_or("more").alias("more"))
+    own = Window.partitionBy("doc_id")
+    found = found.withColumn("more", F.max("more").over(own) | (F.count("*").over(own) > most))
+    found = found.withColumn("rank", F.row_number().over(own.orderBy("total", "partner")))
+    return found.where(F.col("rank") <= most).select("doc_id", "partner", "more")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -354,19 +457,62 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, partner: documents whose partner's shingles of five words are similar to theirs (shared to all) by at least
-    ``similarity``, checked exactly. The partner's doc_id is smaller, so that of documents that such links join the
-    smallest is never listed. Rows without doc_id or words are left out; of a doc_id's rows any may stand for it."""
-    pairs = stored(partners(stored(set_prints(docs), "sets")), "partners")
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The stored ``pairs`` (doc_id, partner) whose shingles are similar, exactly. A partner of many is dealt to parts."""
     named = stored(pairs.select("doc_id").union(pairs.select("partner")).distinct(), "named")
     sets = stored(shingle_sets(keep_ids(docs, named)).dropDuplicates(["doc_id"]), "shingles")
-    mine = pairs.join(sets, "doc_id")
-    both = mine.join(sets.select(F.col("doc_id").alias("partner"), F.col("shingles").alias("other")), "partner")
+    counts = stored(pairs.groupBy("partner").agg(F.count("*").alias("n")), "counts")
+    parts = F.ceil(F.col("n") / 256).cast("long")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    told = lookup(pairs, counts, "partner", "n", total).withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).drop("n")
+    other = sets.select(F.col("doc_id").alias("partner"), F.col("shingles").alias("other")).join(counts, "partner")
+    other = other.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+    both = told.join(sets, "doc_id").join(other, ["partner", "part"])
     shared = F.size(F.array_intersect("shingles", "other"))
     return both.where(shared >= similarity * (F.size("shingles") + F.size("other") - shared)).select("doc_id", "partner")
 
 
+def similar(docs: DataFrame, similarity: float = SIMILARITY, homes: int = HOMES, first: int = FIRST) -> DataFrame:
+    """doc_id, partner: documents whose partner's shingles of five words are similar to theirs (shared to all) by at least
+    ``similarity``, checked exactly. The partner's doc_id is smaller, so that of documents that such links join the
+    smallest is never listed. Rows without doc_id or words are left out; of a doc_id's rows any may stand for it.
+
+    Every document of smaller doc_id within BITS bits of one fingerprint and SET_BITS of all is tried until one is similar:
+    that of all equal fingerprints, those of crowded places, then the nearest, and NEXT times as many in each round, till
+    no document without a similar one has any left. So none is passed over, and a large class never makes its pairs.
+    """
+    key = F.xxhash64(*NAMES).alias("key")
+    prints = stored(set_prints(docs).select("*", key, F.lit(True).alias("search")), "sets")
+    equal = stored(prints.groupBy("key").agg(F.min("doc_id").alias("partner"), F.count("*").alias("n")), "equal")
+    pairs = lookup(prints.select("doc_id", "key"), equal, "key", "n", equal.agg(F.sum("n")).first()[0] or 0).where("doc_id != partner")
+    found = [stored(verified(docs, stored(pairs.select("doc_id", "partner").distinct(), "pairs"), similarity), "similar")]
+
+    def still(rows: DataFrame) -> DataFrame:
+        """``prints`` that search only where they are among ``rows`` and nothing similar is found yet."""
+        ids = rows.select("doc_id").distinct()
+        for f in found:
+            ids = ids.join(f.select("doc_id"), "doc_id", "left_anti")
+        ids = ids.withColumn("_open", F.lit(True))
+        return stored(prints.drop("search").join(ids, "doc_id", "left").withColumn("search", F.coalesce("_open", F.lit(False))).drop("_open"), "sets")
+
+    now = still(prints)
+    if crowded := crowds(now, homes):
+        pairs = stored(leaders(now.where("search"), crowded), "pairs")
+        found.append(stored(verified(docs, pairs, similarity), "similar"))
+        now = still(now.where("search"))
+    most = first
+    while True:
+        pairs = stored(candidates(now, crowded, most, homes), "pairs")
+        found.append(stored(verified(docs, pairs.select("doc_id", "partner"), similarity), "similar"))
+        now, most = still(pairs.where("more")), most * NEXT
+        if now.where("search").isEmpty():
+            break
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.groupBy("doc_id").agg(F.min("partner").alias("partner"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, homes: int = HOMES) -> DataFrame:
     """doc_id, fp, component_id and group_size (rows of the same fingerprint) for each row of ``docs``.
 

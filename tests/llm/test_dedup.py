@@ -117,6 +117,46 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("homes", [4096, 8])
+def test_similar_passes_no_candidate_over(spark, homes):
+    """A document is listed just if one of smaller doc_id whose fingerprints allow it is similar; crowded places included."""
+    random.seed(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(6):
+        base = random.choices(vocabulary, k=120)
+        for c in range(25):
+            words = list(base)
+            for _ in range(random.randint(0, 4)):
+                words[random.randrange(len(words))] = random.choice(vocabulary)
+            if c % 5 == 4:  # the same words in another order: candidates that aren't similar
+                random.shuffle(words)
+            rows.append((len(rows), " ".join(words), None, None, 0))
+    rows.append((0, rows[0][1], None, None, 0))
+    rows += [(None, rows[0][1], None, None, 0), (900, None, None, None, 0), (901, " ", None, None, 0)]
+    df = spark.createDataFrame(random.sample(rows, len(rows)), SCHEMA)
+    prints = {r.doc_id: r[1:] for r in simhash.set_prints(df).collect()}
+    sets = {i: shingles(t) for i, t, *_ in rows if i in prints}
+
+    def alike(i, j):
+        return len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+    def met(i, j):
+        bits = [((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[i], prints[j])]
+        return min(bits) <= simhash.BITS and sum(bits) <= simhash.SET_BITS
+
+    must = {i for i in prints if any(j < i and met(i, j) and alike(i, j) for j in prints)}
+    got = {r.doc_id: r.partner for r in simhash.similar(df, homes=homes).collect()}
+    assert must <= set(got) and all(p < i and alike(i, p) for i, p in got.items())
+    assert len(must) > 50
+    assert simhash.similar(empty(spark)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(12)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 180), (60, None)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
