@@ -36,8 +36,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each class of linked fingerprints the document with the smallest doc_id stays. Of what so stays, a
-    document goes if its five-word shingles are 0.8 similar to those of its nearest with a smaller doc_id. Rows without a
-    doc_id stay."""
+    document goes if its five-word shingles are 0.8 similar to those of one with a smaller doc_id. Rows without a doc_id
+    stay."""
     found = stored(simhash.near_duplicates(docs).select("doc_id", "component_id"), "near")
     bad = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "linked")
     alike = simhash.similar(keep_ids(docs, bad, keep=False)).select("doc_id")
