@@ -17,6 +17,8 @@ SEED = 42
 BITS = 2
 #: Homes of an anchor that are compared in one place; an anchor with more is split.
 HOMES = 4096
+#: Comparisons made at once in a worker, which bounds its memory.
+BLOCK = 1 << 18
 #: The binary Golay code of length 23: its generator polynomial. It is perfect: every word is within 3 bits of one codeword.
 GOLAY, LENGTH, INFO = 0xAE3, 23, 12
 
@@ -211,7 +213,7 @@ def links(classes: DataFrame, homes: int = HOMES) -> DataFrame:
             upto = np.concatenate(([0], np.cumsum(hi - lo)))
             at = 0
             while at < len(p_at):
-                to = max(at + 1, int(np.searchsorted(upto, upto[at] + 2_000_000, "right")) - 1)
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
                 n = (hi - lo)[at:to]
                 i = np.repeat(np.arange(at, to), n)
                 j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n) + lo[i]
@@ -405,7 +407,7 @@ def candidates(prints: DataFrame, crowded: dict[int, tuple], most: int, homes: i
             hi = np.maximum(first + (np.cumsum(met) - met)[probe], lo)  # the homes before the row
             upto, at = np.concatenate(([0], np.cumsum(hi - lo))), 0
             while at < len(probe):
-                to = max(at + 1, int(np.searchsorted(upto, upto[at] + 2_000_000, "right")) - 1)
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
                 n = (hi - lo)[at:to]
                 i = np.repeat(np.arange(at, to), n)
                 j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n) + lo[i]
@@ -443,16 +445,21 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and shingles: the hashes of the text's different shingles of ``words`` words, A-Z lowered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         from xxhash import xxh64_intdigest
 
-        def of(text: bytes) -> list[int]:
+        def of(text: bytes):
             w = text.lower().split()
             parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else (b" ".join(w),) if w else ()
-            return list({xxh64_intdigest(p, SEED) - (1 << 63) for p in parts})
+            return np.unique(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), "u8")).view("i8")
 
         for batch in batches:
-            found = pa.array([of(t.as_py()) for t in batch.column(1).cast(pa.large_binary())], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "shingles"])
+            for at in range(0, len(batch), 512):
+                some = batch.slice(at, 512)
+                found = [of(t.as_py()) for t in some.column(1).cast(pa.large_binary())]
+                ends = np.cumsum([0, *map(len, found)], dtype="i4")
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([some.column(0), sets], ["doc_id", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
