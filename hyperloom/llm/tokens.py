@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: A word longer than this is encoded without being remembered.
 LONG_WORD = 48
 #: Words and stems remembered by a worker; at these numbers a memo starts anew.
-MEMO_WORDS, MEMO_STEMS = 200_000, 400_000
+MEMO_WORDS, MEMO_STEMS = 100_000, 200_000
 #: Marks that may follow a word and never join a letter or digit in one piece.
 MARKS = b"!*#$%&.,|;:?()"
 
@@ -105,7 +105,7 @@ class WordEncoder:
             yield from (out[a:b] for a, b in zip(cuts, cuts[1:]))
 
 
-def _groups(texts: pa.Array, most: int = 6_000_000) -> Iterator[pa.Array]:
+def _groups(texts: pa.Array, most: int = 2_000_000) -> Iterator[pa.Array]:
     """Slices of about ``most`` bytes, of one text at least."""
     import numpy as np
 
