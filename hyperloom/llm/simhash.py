@@ -464,6 +464,103 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+#: Documents that tell which shingles are frequent, and in how many of them one that is frequent is seen.
+SAMPLE, FREQUENT = 10_000, 2
+
+
+def rare_shingles(docs: DataFrame, frequent: tuple, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, size and rare: the number of a text's different shingles, and so many of the rarest, rarest first, that a
+    text as similar must have one of them among its own. Their order is that of the ``frequent`` (sorted shingles, counts),
+    which needn't be exact: any order common to all texts will do."""
+    told = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known, times = told.value
+        for batch in batches:
+            sizes, rare = [], []
+            for shingles in batch.column(1):
+                x = shingles.values.to_numpy(zero_copy_only=False)
+                often = np.zeros(len(x), "i8")
+                if len(known) and len(x):
+                    i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    often = np.where(known[i] == x, times[i], 0)
+                sizes.append(len(x))
+                rare.append(x[np.lexsort((x, often))][: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1])
+            ends = pa.array(np.cumsum([0, *map(len, rare)], dtype="i4"))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare) if rare else np.zeros(0, "i8"), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["doc_id", "size", "rare"])
+
+    sets = shingle_sets(docs.where("doc_id IS NOT NULL")).where(F.size("shingles") > 0)
+    return sets.mapInArrow(run, "doc_id long, size long, rare array<long>")
+
+
+def sharing(docs: DataFrame, closed: DataFrame, similarity: float = SIMILARITY, homes: int = HOMES, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, partner: for documents that aren't among ``closed`` (stored) all of smaller doc_id that can be similar, by
+    the shingles of which similar texts must share one, and by how many can follow it. No similar pair is left out.
+
+    Frequent shingles come last in the order and so hardly ever meet. One that is expected in more than ``homes`` documents
+    is split: documents are dealt to parts, and those that search go to each part.
+    """
+    spark = docs.sparkSession
+    total = docs.count()
+    some = docs.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))))
+    seen = shingle_sets(some).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT).toArrow()
+    known, times = (seen.column(i).to_numpy() for i in (0, 1))
+    order = known.argsort()
+    known, times = known[order], times[order]
+    rare = stored(rare_shingles(docs, (known, times), similarity), "rare")
+    search = keep_ids(rare, closed, keep=False).withColumn("search", F.lit(1))
+    rows = search.unionByName(keep_ids(rare, closed).withColumn("search", F.lit(0)))
+    parts = -(-times * max(1, total // sample) // homes)
+    split = parts > 1
+    rows = rows.select("doc_id", "size", "search", F.posexplode("rare").alias("pos", "place"))
+    info = lambda met: (F.col("size") * (1 << 32) + F.col("pos") * 4 + F.col("search") * 2 + met).alias("info")
+    if split.any():
+        of = spark.createDataFrame(pa.table({"place": known[split], "parts": parts[split]}))
+        rows = rows.join(F.broadcast(of), "place", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        every = F.when(F.col("search") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("own"))
+        rows = rows.withColumn("part", F.explode(every))
+        place = F.when(F.col("parts") > 1, F.xxhash64("place", "part")).otherwise(F.col("place")).alias("place")
+        dealt = rows.select(place, "doc_id", info((F.col("part") == F.col("own")).cast("long")))
+    else:
+        dealt = rows.select("place", "doc_id", info(F.lit(1)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by place and doc_id; those of the last place that can be met are held until the next begins."""
+        import numpy as np
+
+        held = tuple(np.zeros(0, "i8") for _ in range(3))
+        for batch in batches:
+            if not len(batch):
+                continue
+            place, doc, info = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            met, probe = info & 1 > 0, np.flatnonzero(info & 2)
+            first = len(held[0])
+            h_place, h_doc, h_info = (np.concatenate((h, c[met])) for h, c in zip(held, (place, doc, info)))
+            lo = np.searchsorted(h_place, place[probe], "left")
+            hi = np.maximum(first + (np.cumsum(met) - met)[probe], lo)  # the homes before the row
+            upto, at = np.concatenate(([0], np.cumsum(hi - lo))), 0
+            while at < len(probe):
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
+                n = (hi - lo)[at:to]
+                i = np.repeat(np.arange(at, to), n)
+                j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n) + lo[i]
+                own, other = info[probe[i]], h_info[j]
+                size, size2 = own >> 32, other >> 32
+                most = np.minimum(size - ((own & 0xFFFFFFFF) >> 2), size2 - ((other & 0xFFFFFFFF) >> 2))
+                ok = (most * (1 + similarity) >= similarity * (size + size2) - 1e-6) & (doc[probe[i]] != h_doc[j])
+                if ok.any():
+                    yield _batch(doc_id=doc[probe[i[ok]]], partner=h_doc[j[ok]])
+                at = to
+            last = h_place == place[-1]
+            held = h_place[last], h_doc[last], h_info[last]
+
+    return dealt.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(compare, "doc_id long, partner long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The stored ``pairs`` (doc_id, partner) whose shingles are similar, exactly. A partner of many is dealt to parts."""
     named = stored(pairs.select("doc_id").union(pairs.select("partner")).distinct(), "named")
@@ -486,7 +583,9 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, homes: int = HOMES,
 
     Every document of smaller doc_id within BITS bits of one fingerprint and SET_BITS of all is tried until one is similar:
     that of all equal fingerprints, those of crowded places, then the nearest, and NEXT times as many in each round, till
-    no document without a similar one has any left. So none is passed over, and a large class never makes its pairs.
+    no document without a similar one has any left. Those still without are at last compared with every document that can
+    be similar at all (``sharing``), however far the fingerprints are apart. So none is passed over, and a large class
+    never makes its pairs.
     """
     key = F.xxhash64(*NAMES).alias("key")
     prints = stored(set_prints(docs).select("*", key, F.lit(True).alias("search")), "sets")
@@ -514,6 +613,11 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, homes: int = HOMES,
         now, most = still(pairs.where("more")), most * NEXT
         if now.where("search").isEmpty():
             break
+    closed = found[0].select("doc_id")
+    for f in found[1:]:
+        closed = closed.union(f.select("doc_id"))
+    pairs = stored(sharing(docs, stored(closed.distinct(), "closed"), similarity, homes), "pairs")
+    found.append(stored(verified(docs, pairs, similarity), "similar"))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)

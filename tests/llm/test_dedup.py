@@ -157,6 +157,32 @@ def test_similar_passes_no_candidate_over(spark, homes):
     assert simhash.similar(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("homes", [4096, 8])
+def test_similar_finds_all_that_are_similar(spark, homes):
+    """However far the word-set fingerprints are apart: words replaced evenly, just 0.8 of the shingles shared."""
+    random.seed(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in (60, 104, 400, 1600):
+        for _ in range(8):
+            base = random.choices(vocabulary, k=n)
+            rows.append((len(rows), " ".join(base), None, None, 0))
+            for _ in range(2):
+                words = list(base)
+                for i in range(max(1, n // 55)):
+                    words[i * 55 + random.randrange(20)] = random.choice(vocabulary)
+                rows.append((len(rows), " ".join(words), None, None, 0))
+    rows.append((900, "one two", None, None, 0))
+    df = spark.createDataFrame(random.sample(rows, len(rows)), SCHEMA)
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    prints = {r.doc_id: r[1:] for r in simhash.set_prints(df).collect()}
+    must = {i: [j for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
+    near = {i for i in must for j in must[i] if min(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[i], prints[j])) <= simhash.BITS}
+    got = {r.doc_id: r.partner for r in simhash.similar(df, homes=homes).collect()}
+    assert set(got) == {i for i in must if must[i]} and all(p in must[i] for i, p in got.items())
+    assert len(set(got) - near) >= 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(12)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 180), (60, None)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
