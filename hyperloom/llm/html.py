@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_tree import kept_blocks, read
-from .shared import lookup, stored
+from .shared import stored
 
-#: A subtree is a template if it is on at least so many different pages of its host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 4, 0.2
+#: A subtree is a template if it is on at least so many different pages of its host, however many pages the host has.
+MIN_PAGES = 4
 #: Most template hashes that are broadcast (8 bytes each); more reach their pages in a join.
 MOST_TEMPLATES = 2_000_000
 
@@ -23,8 +23,7 @@ def host(url: str = "url"):
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """uid, host, key, main for each element subtree of each page; key hashes host and subtree, main the main text.
-    A row with key 0 stands for the page."""
+    """uid, host, key, main for each element subtree of each page; key hashes host and subtree, main the main text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -36,7 +35,7 @@ def _subtrees(pages: DataFrame) -> DataFrame:
                 page = read(html)
                 main = signed(xxh64_intdigest("\n".join(kept_blocks(page, ())).encode("utf-8", "replace")))
                 site = xxh64_intdigest(h.encode())
-                own = {0, *(signed(xxh64_intdigest(s[1].to_bytes(8, "little"), site)) for s in page.subtrees)}
+                own = {signed(xxh64_intdigest(s[1].to_bytes(8, "little"), site)) for s in page.subtrees}
                 keys += own
                 uid += [u] * len(own)
                 hosts += [signed(site)] * len(own)
@@ -46,18 +45,14 @@ def _subtrees(pages: DataFrame) -> DataFrame:
     return pages.select("uid", "host", "html").mapInArrow(run, "uid long, host long, key long, main long")
 
 
-def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """The keys of subtrees that recur across pages of their host. Pages with one and the same main text count once, so
     that copies of a page don't make its text a template."""
     counts = subtrees.select("host", "key", "main").distinct().groupBy("host", "key").agg(F.count("*").alias("pages"))
-    counts = stored(counts.where(F.col("pages") >= min_pages), "counts")
-    hosts = stored(counts.groupBy("host").agg(F.count("*").alias("n"), F.max(F.when(F.col("key") == 0, F.col("pages"))).alias("all")), "hosts")
-    total = hosts.agg(F.sum("n")).first()[0] or 0
-    found = lookup(counts.where("key != 0"), hosts, "host", "n", total)
-    return found.where(F.col("pages") >= min_share * F.col("all")).select("key")
+    return counts.where(F.col("pages") >= min_pages).select("key")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most: int = MOST_TEMPLATES) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, most: int = MOST_TEMPLATES) -> DataFrame:
     """page_id, url, text and n_chars for each row of ``pages``: the main text of the whole html.
 
     Element subtrees are hashed and counted per host over all pages; those on many different pages of the host are
@@ -73,7 +68,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), host().alias("host"))
     rows = rows.withColumn("uid", F.xxhash64("page_id", "url", "html"))
     found = stored(_subtrees(rows), "subtrees")
-    recurring = stored(templates(found, min_pages, min_share), "templates")
+    recurring = stored(templates(found, min_pages), "templates")
     n = recurring.count()
     told = None
     if n <= most:

@@ -49,6 +49,15 @@ def test_templates_go(spark, most):
     assert html.extract(df.where("page_id = -1"), most=most).count() == 0
 
 
+def test_templates_of_a_section_go_on_a_large_host(spark):
+    """A section's menu, advert and notice in neutral markup, on few of the host's pages; a copied page's text stays."""
+    boxes = [f"<div class='x{s}'><span>Offer {s} ends soon</span></div><div><a href='/{s}'>Part {s}</a> <i>of section {s} here</i></div>" for s in range(60)]
+    rows = [(i, f"http://h.example.com/{i}", f"<body><div><p>Own text {i} of this page</p>{boxes[i % 60]}</div></body>") for i in range(360)]
+    rows += [(1000 + i, f"http://h.example.com/copy{i}", "<body><div><p>Copied text</p><p>of one page</p></div></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own text {i} of this page" if i < 1000 else "Copied text of one page" for i, *_ in rows}
+
+
 def repeats(words):
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
