@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HEAVY, lookup, stored, text_of
+from .shared import keep_ids, lookup, stored, text_of
 
 #: Kinds in order, with the patterns that find them. Each finds what the plain pattern in its comment does: a start
 #: within a run of the first class fails if the run's start failed, so only run starts and the end of the match before
@@ -27,15 +27,13 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 KINDS = tuple(PATTERNS)
 TERM = "term"
 
-#: Words on either side of an entity that are its context, and the letters that make a term.
-CONTEXT = 4
+#: The letters that make a term.
 LETTERS = r"\p{L}{3,}"
-#: A term reveals an entity if it is near it in so many different contexts, if so large a share of the term's documents
-#: have the entity near it, and if it raises the entity's probability by so many bits.
-MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
+#: A term reveals an entity if so many different texts have both, if so large a share of the term's documents have the
+#: entity, and if it raises the entity's probability by so many bits.
+MIN_TEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
 
 _BLOCK = 64
-_AROUND = rf"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{0,{CONTEXT}}}"
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -78,9 +76,8 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 def _matches(text: Column, kind: str, none: str) -> Column:
-    """The kind's valid matches: start, kind, end, value, left and right, the words around it up to the kind's next match."""
+    """The kind's valid matches: start, kind, end and value."""
     pattern = PATTERNS[kind]
-    flip = lambda gap: F.reverse(F.regexp_extract(F.reverse(gap), _AROUND, 0))
 
     def of(hits: Column) -> Column:
         def placed(gaps: Column) -> Column:
@@ -89,8 +86,7 @@ def _matches(text: Column, kind: str, none: str) -> Column:
             made = lambda starts: F.transform(
                 hits,
                 lambda h, i: F.struct(
-                    F.get(starts, i).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (F.get(starts, i) + F.length(h)).alias("end"),
-                    F.lower(h).alias("value"), flip(F.get(gaps, i)).alias("left"), F.regexp_extract(F.get(gaps, i + 1), _AROUND, 0).alias("right"),
+                    F.get(starts, i).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (F.get(starts, i) + F.length(h)).alias("end"), F.lower(h).alias("value"),
                 ),
             )
             return _let(steps, lambda s: _let(_upto(s), made))
@@ -102,58 +98,67 @@ def _matches(text: Column, kind: str, none: str) -> Column:
     return F.coalesce(F.when(needed, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)), F.from_json(F.lit("[]"), none))
 
 
-_MATCH = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
+_MATCH = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """row, doc_id and ``found``, the matches of all kinds by start and then kind, for each row of ``docs``."""
+    """row, doc_id, text and ``found``, the matches of all kinds by start and then kind, for each row of ``docs``."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
-    df = df.select("doc_id", *(_matches(F.col("_text"), k, _MATCH).cast(_MATCH).alias(k) for k in KINDS))
-    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sort_array(F.concat(*KINDS)).alias("found"))
+    df = df.select("doc_id", "_text", *(_matches(F.col("_text"), k, _MATCH).cast(_MATCH).alias(k) for k in KINDS))
+    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("_text").alias("text"), F.sort_array(F.concat(*KINDS)).alias("found"))
 
 
-def _terms(snippet: Column, start: Column) -> Column:
-    """The terms of a short text that begins at ``start``: term, start, end."""
+def _terms(text: Column) -> Column:
+    """The hashes of a text's different terms outside addresses; no other kind has letters."""
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), F.lit(LETTERS), F.lit(0))
+    return F.array_distinct(F.transform(words, lambda t: F.xxhash64(t)))
 
-    def placed(words: Column) -> Column:
-        def at(gaps: Column) -> Column:
-            def one(w: Column, i: Column) -> Column:
-                first = start + _sum(F.transform(F.slice(gaps, 1, i + 1), F.length)) + _sum(F.transform(F.slice(words, 1, i), F.length))
-                return _let(first, lambda f: F.struct(F.lower(w).alias("term"), f.alias("start"), (f + F.length(w)).alias("end")))
 
-            return F.transform(words, one)
+def _places(text: Column) -> Column:
+    """All the terms of a text in order: term (its hash), start, end."""
 
-        return _let(F.split(snippet, LETTERS, -1), at)
+    def placed(words: Column) -> Column:
+        def at(gaps: Column) -> Column:
+            steps = F.transform(words, lambda w, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(words, i - 1))).otherwise(F.lit(0)))
+            one = lambda starts: F.transform(
+                words, lambda w, i: F.struct(F.xxhash64(F.lower(w)).alias("term"), F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(w)).alias("end"))
+            )
+            return _let(steps, lambda x: _let(_upto(x), one))
 
-    return _let(F.regexp_extract_all(snippet, F.lit(LETTERS), F.lit(0)), placed)
+        return _let(F.split(text, LETTERS, -1), at)
 
+    return _let(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), placed)
 
-def occurrences(found: DataFrame) -> DataFrame:
-    """row, doc_id, entity, context, pair, term, start, end: each term near each entity. context hashes the words around."""
-    one = found.select("row", "doc_id", F.explode("found").alias("m"))
-    near = F.concat(_terms(F.col("m.left"), F.col("m.start") - F.length("m.left")), _terms(F.col("m.right"), F.col("m.end")))
-    one = one.select("row", "doc_id", F.xxhash64("m.kind", "m.value").alias("entity"), F.xxhash64("m.left", "m.right").alias("context"), F.explode(near).alias("t"))
-    return one.select("row", "doc_id", "entity", "context", F.xxhash64("entity", "t.term").alias("pair"), F.xxhash64("t.term").alias("term"), "t.start", "t.end")
 
+def disclosures(found: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
+    """term, entity, share, bits for each term that reveals an entity anywhere in its texts.
 
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """pair, term, entity, share, bits for each term that reveals an entity.
+    share is P(entity | term in the document) and bits the logarithm of its ratio to P(entity), both counted over all
+    rows. Equal texts count once as evidence, so that copies of a document don't make its words reveal anything.
 
-    share is P(entity near | term in the document) and bits the logarithm of its ratio to P(entity), both counted over
-    all rows. Equal contexts count once as evidence, so that copies of a document don't make its words reveal anything.
+    Counts of terms and of entities come first and leave out, before rows make pairs, only what no pair's counts could
+    meet: an entity is with a term in at most all its rows and texts, so a term in more than 1 / min_share times as many
+    rows has too small a share, and an entity in over 2 ** -min_bits of all rows can't gain so many bits.
     """
-    distinct = near.select("pair", "term", "entity", "context").distinct().groupBy("pair", "term", "entity").agg(F.count("*").alias("contexts"))
-    rows = near.select("pair", "row").distinct().groupBy("pair").agg(F.count("*").alias("together"))
-    candidates = stored(distinct.where(F.col("contexts") >= min_contexts).join(rows, "pair"), "candidates")
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text_of()), F.lit(LETTERS), F.lit(0)), lambda t: F.xxhash64(t)))
-    terms = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    entity = found.select("row", F.explode("found").alias("m")).select("row", F.xxhash64("m.kind", "m.value").alias("entity")).distinct()
-    entity = entity.groupBy("entity").agg(F.count("*").alias("with_entity"))
     all_rows = found.count()
+    entity = found.select("row", F.xxhash64("text").alias("digest"), F.explode("found").alias("m"))
+    entity = stored(entity.select("row", "digest", F.xxhash64("m.kind", "m.value").alias("entity")).distinct(), "entity")
+    texts = entity.groupBy("entity", "digest").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count("*").alias("texts"))
+    texts = stored(texts.where((F.col("texts") >= min_texts) & (F.col("with_entity") <= all_rows * 2.0**-min_bits)).drop("texts"), "entities")
+    sums = texts.agg(F.sum("with_entity"), F.max("with_entity")).first()
+    entity = stored(lookup(entity, texts, "entity", "with_entity", sums[0] or 0), "having")
+    having = stored(entity.select("row").distinct(), "rows")
+    counts = found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    counts = stored(counts.where((F.col("with_term") >= min_texts) & (F.col("with_term") * min_share <= (sums[1] or 0))), "counts")
+    terms = stored(keep_ids(found, having, "row").select("row", F.explode(_terms(F.col("text"))).alias("term")), "terms")
+    terms = lookup(terms, counts, "term", "with_term", terms.count())
+    both = terms.join(entity, "row").where(F.col("with_term") * min_share <= F.col("with_entity"))
+    both = both.groupBy("term", "entity", "with_term", "with_entity", "digest").agg(F.count("*").alias("n"))
+    both = both.groupBy("term", "entity", "with_term", "with_entity").agg(F.sum("n").alias("together"), F.count("*").alias("texts"))
     share = F.try_divide("together", "with_term")
     bits = F.log2(share * F.lit(float(all_rows)) / F.col("with_entity"))
-    told = candidates.join(terms, "term").join(entity, "entity")
-    return told.select("pair", "term", "entity", share.alias("share"), bits.alias("bits")).where((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
+    told = both.where(F.col("texts") >= min_texts).select("term", "entity", share.alias("share"), bits.alias("bits"))
+    return told.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
 
 
 def sanitisation(docs: DataFrame, **thresholds) -> DataFrame:
@@ -161,18 +166,16 @@ def sanitisation(docs: DataFrame, **thresholds) -> DataFrame:
     code points with the end exclusive.
 
     base has the emails, IP addresses, card and phone numbers of the whole text. spans adds, as kind len(KINDS), the
-    terms near an entity that reveal it by the corpus's co-occurrence counts; a term that overlaps base stays with it.
+    terms that reveal an entity by the corpus's co-occurrence counts, wherever they are, in texts without the entity too;
+    a term that overlaps base stays with it.
     Null text counts as empty; repeated rows get the same spans; null doc_ids are kept; other columns are ignored; an
     empty table gives no rows.
     """
     found = stored(entities(docs), "entities")
-    near = stored(occurrences(found), "near")
-    told = disclosures(docs, found, near, **thresholds).select("pair")
-    counts = near.join(told, "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("n"))
-    counts = stored(counts, "told")
-    total = max(near.count(), HEAVY)
-    spans = lookup(near, counts, "pair", "n", total).select("row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("s"))
-    spans = spans.distinct().groupBy("row").agg(F.collect_list("s").alias("more"))
+    told = stored(disclosures(found, **thresholds).select("term").distinct(), "told")
+    places = found.select("row", F.explode(_places(F.col("text"))).alias("t")).select("row", "t.*")
+    spans = keep_ids(places, told, "term").select("row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("s"))
+    spans = spans.groupBy("row").agg(F.collect_list("s").alias("more"))
     base = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     df = found.select("row", "doc_id", base.alias("base")).join(spans, "row", "left")
     clear = F.filter("more", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))

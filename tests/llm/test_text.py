@@ -127,6 +127,39 @@ def test_terms_that_reveal(spark):
     assert spans.startswith("ann wrote: [TERM]") and "[EMAIL]" in spans and "agent7" not in spans
 
 
+def revealed(spark, rows):
+    """The terms removed from each text, by brute force and by the query."""
+    texts = dict(rows)
+    mails = {i: {m[0].lower() for m in re.finditer(PLAIN["email"], t)} for i, t in rows}
+    words = {i: set(re.findall(r"[^\W\d_]{3,}", re.sub(PLAIN["email"], " ", t).lower())) for i, t in rows}
+    with_term = {w: [i for i in words if w in words[i]] for w in set().union(*words.values())}
+    told = set()
+    for mail in set().union(*mails.values()):
+        has = [i for i in mails if mail in mails[i]]
+        for w, at in with_term.items():
+            both = [i for i in at if i in has]
+            if len({texts[i] for i in both}) >= 3 and len(both) / len(at) >= 0.5 and len(both) / len(at) * len(rows) / len(has) >= 16:
+                told.add(w)
+    want = {}
+    for i, t in rows:
+        hidden = [m.span() for m in re.finditer(PLAIN["email"], t)]
+        want[i] = [m[0] for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in told and not any(m.start() < b and a < m.end() for a, b in hidden)]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s["end"]] for s in r.spans if s.kind == len(pii.KINDS)] for r in pii.sanitisation(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return got, want
+
+
+def test_terms_that_reveal_from_afar(spark):
+    """Far from the address, at each mention, and in a text without the address."""
+    random.seed(9)
+    common = [f"{a}{b}ing" for a in "bcdfg" for b in ("al", "er", "in", "ot")]
+    prose = lambda n: " ".join(random.choices(common, k=n))
+    rows = [(i, f"Zorblax {prose(60)} agent7@corp.example {prose(60)} Zorblax {prose(5)} zorblax end") for i in range(6)]
+    rows += [(10, f"{prose(10)} Zorblax {prose(10)}")] + [(100 + i, prose(40)) for i in range(150)]
+    got, want = revealed(spark, rows)
+    assert got == want and got[10] == ["Zorblax"]
+    assert all([w for w in got[i] if w.lower() == "zorblax"] == ["Zorblax", "Zorblax", "zorblax"] for i in range(6))
+
+
 def test_classifier(spark):
     random.seed(5)
     rows, labels = [], []
