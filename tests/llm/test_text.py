@@ -160,6 +160,18 @@ def test_terms_that_reveal_from_afar(spark):
     assert all([w for w in got[i] if w.lower() == "zorblax"] == ["Zorblax", "Zorblax", "zorblax"] for i in range(6))
 
 
+def test_terms_that_reveal_in_one_wording(spark):
+    """One contact line in different documents is evidence; in copies of one document it isn't."""
+    random.seed(10)
+    common = [f"{a}{b}ing" for a in "bcdfg" for b in ("al", "er", "in", "ot")]
+    prose = lambda n: " ".join(random.choices(common, k=n))
+    rows = [(i, f"{prose(30)} please write to Quixley at desk@corp.example thanks again {prose(30)}") for i in range(8)]
+    copied = f"{prose(30)} write to Unique Person at copy@corp.example here"
+    rows += [(50 + i, copied) for i in range(8)] + [(100 + i, prose(40)) for i in range(200)]
+    got, want = revealed(spark, rows)
+    assert got == want and all("Quixley" in got[i] for i in range(8)) and not any(got[50 + i] for i in range(8))
+
+
 def test_classifier(spark):
     random.seed(5)
     rows, labels = [], []
