@@ -211,3 +211,15 @@ def test_language(spark):
     assert language.identify(empty(spark)).count() == 0 and language.identify(awkward(spark)).count() == 14
     none = language.identify(spark.createDataFrame([(1, "abc", None, None, 0)], SCHEMA)).first()
     assert none.lang == "und" and not none.kept
+
+
+def test_language_of_a_small_share(spark):
+    """0.1 % of the rows, and a hot source in another language."""
+    words = {"en": "the of and this that with house water".split(), "de": "der die und nicht mit haus wasser strasse".split(), "fi": "ja ei talo vesi katu kanssa joka hyvin".split()}
+    random.seed(7)
+    text = lambda x: " ".join(random.choices(words[x], k=12))
+    rows = [(i, text(x), x, "hot" if x == "en" else "s", 0) for i in range(20_000) for x in ["fi" if i % 1000 == 0 else "de" if i % 50 == 1 else "en"]]
+    rows += [(30_000 + i, text("fi"), None, "s", 0) for i in range(5)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].lang == (x or "fi") and got[i].kept for i, _, x, _, _ in rows)
+    assert len(got) == len(rows)
