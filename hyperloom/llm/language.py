@@ -91,11 +91,11 @@ def fit(rows: DataFrame, most: int = MOST_FIT) -> tuple[list[str], Model]:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
                 new.append(_cells(text).astype("i8") + i * CELLS)
                 held += len(new[-1])
-                if held > 1 << 20:
+                if held > 1 << 18:
                     keys, total = _added(keys, total, new)
                     new, held = [np.zeros(0, "i8")], 0
             keys, total = _added(keys, total, new)
-            if len(keys) > 1 << 21:
+            if len(keys) > 1 << 19:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["key", "n"])
                 keys, total = np.zeros(0, "i8"), np.zeros(0, "i8")
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["key", "n"])
