@@ -88,6 +88,21 @@ def preprocessing(text: str) -> dict:
     return _yaml()(text)
 
 
+#: The folders of a preprocessing configuration: the first must be there, the others are made.
+DATA_FOLDER, RESULT_FOLDERS = "data_root", ("result_root", "ckpt_folder", "result_sub_folder")
+
+
+def check_folders(spark, cfg: dict) -> None:
+    """Raises ValueError if the data folder of a preprocessing configuration isn't there, and makes those of its results."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda k: jvm.org.apache.hadoop.fs.Path(cfg[k])
+    if not path(DATA_FOLDER).getFileSystem(conf).exists(path(DATA_FOLDER)):
+        raise ValueError(f"no folder {cfg[DATA_FOLDER]}")
+    for k in RESULT_FOLDERS:
+        if cfg.get(k):
+            path(k).getFileSystem(conf).mkdirs(path(k))
+
+
 def dataset_name(mvcnn: bool, gvcnn: bool, mvcnn_structure: bool, gvcnn_structure: bool) -> str:
     """The name of a choice of features and structures, such as m_g_ms_gs."""
     flags = (("m", mvcnn), ("g", gvcnn), ("ms", mvcnn_structure), ("gs", gvcnn_structure))

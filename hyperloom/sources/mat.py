@@ -20,6 +20,11 @@ def archive(content, feature: str):
     return np.asarray(content["X"][0][FEATURES[feature]], "f8"), labels, np.asarray(content["indices"]).ravel() == 1
 
 
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The training rows and the others, by is_train."""
+    return rows.where("is_train"), rows.where("NOT is_train")
+
+
 def load(spark: SparkSession, path: str, feature: str) -> DataFrame:
     """row, vec, label, is_train. The archive is one file of one machine's memory and is read on the driver; SciPy does so."""
     from scipy.io import loadmat

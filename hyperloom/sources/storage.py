@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,26 @@ def scratch(spark: SparkSession, kind: str = "frame") -> str:
     return path
 
 
+#: The paths that ``released`` blocks have collected, innermost last.
+_collected: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes, at its end, what ``stored`` has written within: for results that nothing reads afterwards."""
+    _collected.append([])
+    try:
+        yield
+    finally:
+        for path in _collected.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, kind: str = "frame") -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives the loss of executors."""
     path = scratch(df.sparkSession, kind)
+    if _collected:
+        _collected[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

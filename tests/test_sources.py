@@ -84,3 +84,57 @@ def test_config():
         config.parse(YAML.replace(", test_idx: 3", ""))
     assert config.preprocessing("a: &r /x\nb: !join [*r, y]\nc: !concat [u, _, v]")["b"] == "/x/y"
     assert config.dataset_name(True, True, True, True) == "m_g_ms_gs" and config.dataset_name(True, False, False, True) == "m_gs"
+
+
+def test_csv_rows_keep_their_order_over_files(spark, tmp_path):
+    """Part files of unequal size, the later ones larger, in a table that Spark reads largest first."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3)) * np.repeat([1, 1, 1e-12, 1e12], 100)[:, None]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(held, ("false", "7", "1")):
+            spark.conf.set(k, v)
+        csv.write_dense(dense(spark, x), str(tmp_path / "x"))
+        assert len(list((tmp_path / "x").glob("part-*"))) > 3
+        np.testing.assert_array_equal(array(csv.read_dense(spark, str(tmp_path / "x")), 400, 3), x)
+        folder = tmp_path / "y"
+        folder.mkdir()
+        for i, n in ((2, 50), (10, 500), (1, 5)):
+            write(folder / f"part-{i}.csv", "".join(f"{1000 * i + k}\n" for k in range(n)))
+        want = [1000 * i + k for i, n in ((1, 5), (2, 50), (10, 500)) for k in range(n)]
+        assert [r.label for r in csv.read_labels(spark, str(folder)).orderBy("row").collect()] == want
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_labels_of_the_last_column(spark, tmp_path):
+    p = write(tmp_path / "t.csv", "0.5,1.5,3\n2,3,1\n")
+    assert [r.label for r in csv.read_labels(spark, p, last=True).orderBy("row").collect()] == [3, 1]
+
+
+def test_shown_and_hardware(spark, tmp_path):
+    assert csv.show(coo(spark, [[0, 2.0], [1.0, 0]])) == "(0, 1, 2.0)\n(1, 0, 1.0)" and csv.show(dense(spark, [[1.0], [2.0]]), 1) == "(0, [1.0])"
+    csv.append_log(spark, str(tmp_path / "hw"), run_id="r", **csv.hardware(spark))
+    assert spark.read.parquet(str(tmp_path / "hw")).columns == ["run_id", "distributed", "ntasks", "tasks_per_node", "cpus_per_task", "mem_per_cpu"]
+
+
+def test_folders(spark, tmp_path):
+    cfg = {"data_root": str(tmp_path / "none"), "result_root": str(tmp_path / "out"), "ckpt_folder": str(tmp_path / "out" / "ckpt"), "result_sub_folder": ""}
+    with pytest.raises(ValueError):
+        config.check_folders(spark, cfg)
+    config.check_folders(spark, cfg | {"data_root": str(tmp_path)})
+    assert (tmp_path / "out" / "ckpt").is_dir()
+
+
+def test_released_results_are_deleted(spark):
+    from hyperloom.sources import storage
+
+    outer = storage.stored(spark.range(3), "outer")
+    with storage.released(spark):
+        inner = storage.stored(spark.range(3), "inner")
+        path = inner.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+        assert inner.count() == 3
+    import os
+
+    assert outer.count() == 3 and not os.path.exists(path.replace("//", ""))
