@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -18,8 +18,24 @@ ROWS = "row long, vec array<double>"
 
 def dense_of(cells: DataFrame, n_cols: int) -> DataFrame:
     """Rows (row, vec) of cells (row, col, val), 0 where there is none."""
-    at = cells.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "val"))).alias("m"))
-    return at.select("row", F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("vec"))
+
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                some = batch.slice(at, step)
+                cols, vals = some.column("cols"), some.column("vals")
+                out = np.zeros((len(some), n_cols))
+                size = np.diff(cols.offsets.to_numpy())
+                out[np.repeat(np.arange(len(some)), size), cols.flatten().to_numpy()] = vals.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([some.column("row"), as_vectors(out)], ["row", "vec"])
+
+    step = max(1, MOST_CELLS // max(1, n_cols))
+    by_row = cells.groupBy("row").agg(F.collect_list(F.struct("col", "val")).alias("c"))
+    by_row = by_row.select("row", F.col("c.col").cast("array<long>").alias("cols"), F.col("c.val").cast("array<double>").alias("vals"))
+    return by_row.mapInArrow(run, ROWS)
 
 
 def as_array(batch: pa.RecordBatch, column: str = "vec"):
@@ -95,12 +111,38 @@ def times_local(x: Dense, b, then=None) -> Dense:
 
 
 def matmul(x: Dense, b: Dense, most: int = MOST_CELLS) -> Dense:
-    """X times B: B goes to all executors if it has at most ``most`` cells; else X's cells meet B's rows in a join."""
+    """X times B: B goes to all executors if it has at most ``most`` cells; else by blocks.
+
+    B is cut into bands of rows, X into bands of columns and of rows, so that no block has more than about ``most`` cells.
+    Where a block of X meets its band of B, one product is made; a row's products over bands are then added up. X is
+    shuffled once, B once for each band of X's rows.
+    """
     small = local(b, most)
     if small is not None:
         return times_local(x, small)
-    met = x.cells().join(b.df.select(F.col("row").alias("col"), "vec"), "col")
-    return Dense(sum_rows(met.select("row", V.scale("vec", F.col("val")).alias("vec"))), x.n_rows, b.n_cols)
+    (n, d), (m, e) = x.shape(), b.shape()
+    same("inner extents", d, m)
+    wide = max(1, most // max(1, e))  # rows of a band of B
+    tall = max(1, most // wide)  # rows of a band of X
+    bands, n_tall = -(-m // wide), -(-n // tall)
+    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.struct(j.alias("j"), F.slice("vec", j * wide + 1, wide).alias("vec")))).alias("p")
+    left = x.df.select("row", F.floor(F.col("row") / tall).cast("int").alias("i"), part).select(F.col("row").alias("r"), "i", "p.j", F.col("p.vec").alias("u"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_tall - 1))).alias("i")
+    right = b.df.select(F.col("row").cast("long").alias("k"), F.floor(F.col("row") / wide).cast("int").alias("j"), F.col("vec").alias("v"), every)
+
+    def times(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        import numpy as np
+
+        if not len(ours) or not len(theirs):
+            return pa.table({"row": pa.array([], pa.int64()), "vec": pa.array([], pa.list_(pa.float64()))})
+        ours, theirs = (t.combine_chunks().to_batches()[0] for t in (ours, theirs))
+        a, rows = as_array(ours, "u"), theirs.column("k").to_numpy() % wide
+        band = np.zeros((a.shape[1], e))
+        band[rows] = as_array(theirs, "v")
+        return pa.table({"row": ours.column("r"), "vec": as_vectors(a @ band)})
+
+    made = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(times, ROWS)
+    return Dense(sum_rows(made), n, e)
 
 
 def matmul_bt(x: Dense, b: Dense, most: int = MOST_CELLS) -> Dense:
@@ -110,11 +152,13 @@ def matmul_bt(x: Dense, b: Dense, most: int = MOST_CELLS) -> Dense:
 
 
 def at_matmul_local(a: Dense, b: Dense):
-    """The transpose of A times B as an array; both have their rows partitioned alike and few columns: each task adds up
-    outer products, and one small matrix a task is summed by position."""
+    """The transpose of A times B as an array, of at most MOST_CELLS cells; both have their rows partitioned alike and few
+    columns: each task adds up outer products, and one small matrix a task is summed by position."""
     import numpy as np
 
     d, e = a.shape()[1], b.shape()[1]
+    if d * e > MOST_CELLS:
+        raise ValueError(f"{d} x {e} is too large for the driver: use at_matmul")
     cells = at_matmul(a, b).df.collect()
     out = np.zeros((d, e))
     for row, vec in cells:
@@ -148,27 +192,44 @@ def transpose(x: Dense) -> Dense:
     return Dense(dense_of(cells, n), d, n)
 
 
-def _paired(a: Dense, b: Dense, f) -> Dense:
-    met = a.df.select("row", "vec").join(b.df.select("row", F.col("vec").alias("other")), "row")
-    return Dense(met.select("row", f("vec", "other").alias("vec")), a.n_rows, a.n_cols)
+def _agree(a: Dense, b: Dense) -> None:
+    """Raises ValueError if extents that both know differ."""
+    for what, n, m in (("rows", a.n_rows, b.n_rows), ("columns", a.n_cols, b.n_cols)):
+        if n is not None and m is not None:
+            same(what, n, m)
+
+
+def _alike(vec: Column, other: Column, result: Column) -> Column:
+    """``result``, or an error where two vectors differ in length."""
+    return F.when(F.size(vec) == F.size(other), result).otherwise(F.raise_error(F.lit("vectors of different lengths")))
 
 
 def add(a: Dense, b: Dense) -> Dense:
-    return _paired(a, b, V.add)
+    """The sum of matrices of one shape; an absent row is 0."""
+    _agree(a, b)
+    met = a.df.select("row", "vec").join(b.df.select("row", F.col("vec").alias("other")), "row", "full")
+    both = _alike(F.col("vec"), F.col("other"), V.add("vec", "other"))
+    vec = F.when(F.col("vec").isNull(), F.col("other")).when(F.col("other").isNull(), F.col("vec")).otherwise(both)
+    return Dense(met.select("row", vec.alias("vec")), a.n_rows, a.n_cols)
 
 
 def hadamard(a: Dense, b: Dense) -> Dense:
-    return _paired(a, b, V.hadamard)
+    """The product by cells of matrices of one shape; an absent row is 0 and stays absent."""
+    _agree(a, b)
+    met = a.df.select("row", "vec").join(b.df.select("row", F.col("vec").alias("other")), "row")
+    return Dense(met.select("row", _alike(F.col("vec"), F.col("other"), V.hadamard("vec", "other")).alias("vec")), a.n_rows, a.n_cols)
 
 
 def add_to_rows(a: Dense, w: DataFrame) -> Dense:
-    """Adds w (idx, val) to all entries of row idx."""
-    met = a.df.join(w.select(F.col("idx").alias("row"), F.col("val").alias("w")), "row")
-    return Dense(met.select("row", V.shift("vec", F.col("w")).alias("vec")), a.n_rows, a.n_cols)
+    """Adds w (idx, val) to all entries of row idx; rows that w leaves out stay as they are."""
+    met = a.df.join(w.select(F.col("idx").alias("row"), F.col("val").alias("w")), "row", "left")
+    return Dense(met.select("row", V.shift("vec", F.coalesce("w", F.lit(0.0))).alias("vec")), a.n_rows, a.n_cols)
 
 
 def add_bias(a: Dense, bias) -> Dense:
     """Adds bias, by column."""
+    if a.n_cols is not None:
+        same("columns", a.n_cols, len(bias))
     return Dense(a.df.select("row", V.add("vec", V.literal(bias)).alias("vec")), a.n_rows, a.n_cols)
 
 

@@ -13,48 +13,64 @@ from ..types import Coo, Dense
 from .dense import as_array
 from .sparse import col_sum, row_sum, scale_cols, scale_rows, spgemm, transpose
 
-#: Cells of the block of vectors that is sent to all executors at a time.
+#: Cells of a block of vectors; a matrix of one block is sent to all executors, others meet block by block.
 BLOCK_CELLS = 4_000_000
+#: Rows of a block where all pairs are the result.
+PAIR_ROWS = 2048
 
 
-def _blocks(x: Dense, cells: int) -> Iterator[tuple]:
-    """The matrix in blocks of about ``cells`` cells, by ranges of row: (rows, array). The driver holds one at a time."""
-    import numpy as np
+def _against_blocks(x: Dense, cells: int, each, schema: str, most_rows: int | None = None) -> DataFrame:
+    """``each(rows, other rows, distances)`` for all rows against blocks of rows that make up the whole.
 
+    A matrix of up to ``cells`` cells is one block that every task gets. A larger one is cut into blocks of rows, and each
+    pair of blocks meets in a group of its own; nothing passes the driver and no pair of rows is shuffled.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
     n, d = x.shape()
     step = max(1, cells // max(1, d))
-    for low in range(0, n, step):
-        some = x.df.where((F.col("row") >= low) & (F.col("row") < low + step)).select("row", "vec").collect()
-        if some:
-            yield np.array([r for r, _ in some], "i8"), np.array([v for _, v in some], "f8")
 
+    def compare(a_rows, a, b_rows, b) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-def _against_blocks(x: Dense, cells: int, each, schema: str) -> DataFrame:
-    """The union over blocks of ``each(rows, vectors, block rows, distances)`` for all rows against each block: every row
-    meets every block in a task of its own, with no pair shuffled."""
-    sc, out = x.df.sparkSession.sparkContext, None
-    names = [c.split()[0] for c in schema.split(", ")]
-    for block in _blocks(x, cells):
-        told = sc.broadcast(block)
+        norm = (b * b).sum(axis=1)
+        for at in range(0, len(a), 256):
+            rows, part = a_rows[at : at + 256], a[at : at + 256]
+            dist = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + norm - 2 * part @ b.T, 0))
+            dist[rows[:, None] == b_rows] = 0.0
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in each(rows, b_rows, dist)], names)
 
-        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            import numpy as np
+    df = x.df.select(F.col("row").cast("long").alias("row"), "vec")
+    if n <= step:
+        told = x.df.sparkSession.sparkContext.broadcast(_block(df))
 
-            ids, b = told.value
-            norm = (b * b).sum(axis=1)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, len(batch), 256):
-                    part = batch.slice(at, 256)
-                    a = as_array(part)
-                    d = np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + norm - 2 * a @ b.T, 0))
-                    rows = part.column("row").to_numpy()
-                    d[rows[:, None] == ids] = 0.0
-                    columns = each(rows, ids, d)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                if len(batch) and len(told.value[0]):
+                    yield from compare(batch.column("row").to_numpy(), as_array(batch), *told.value)
+
+        return df.mapInArrow(run, schema)
 
-        made = x.df.select("row", "vec").mapInArrow(run, schema)
-        out = made if out is None else out.unionByName(made)
-    return x.df.sparkSession.createDataFrame([], schema) if out is None else out
+    step = min(step, most_rows or step)
+    blocks = (n - 1) // step + 1
+    every, own = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.floor(F.col("row") / step).cast("int")
+    left = df.select(F.col("row").alias("a"), F.col("vec").alias("u"), own.alias("i"), every.alias("j"))
+    right = df.select(F.col("row").alias("b"), F.col("vec").alias("v"), every.alias("i"), own.alias("j"))
+
+    def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not len(ours) or not len(theirs):
+            return pa.table({c: pa.array([], pa.float64() if t == "double" else pa.int64()) for c, t in (x.split() for x in schema.split(", "))})
+        (a, b) = (t.combine_chunks().to_batches()[0] for t in (ours, theirs))
+        return pa.Table.from_batches(list(compare(a.column("a").to_numpy(), as_array(a, "u"), b.column("b").to_numpy(), as_array(b, "v"))))
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
+
+
+def _block(df: DataFrame) -> tuple:
+    import numpy as np
+
+    t = df.toArrow().combine_chunks()
+    batches = t.to_batches()
+    return (batches[0].column("row").to_numpy(), as_array(batches[0])) if batches and len(batches[0]) else (np.zeros(0, "i8"), np.zeros((0, 0)))
 
 
 def pairwise_distance(x: Dense, cells: int = BLOCK_CELLS) -> DataFrame:
@@ -65,12 +81,12 @@ def pairwise_distance(x: Dense, cells: int = BLOCK_CELLS) -> DataFrame:
 
         return np.repeat(rows, len(ids)), np.tile(ids, len(rows)), d.ravel()
 
-    return _against_blocks(x, cells, each, "center long, v long, d double")
+    return _against_blocks(x, cells, each, "center long, v long, d double", PAIR_ROWS)
 
 
 def knn(x: Dense, k: int, cells: int = BLOCK_CELLS) -> DataFrame:
     """center, v, d, rank (from 1), mean: each row's k nearest, itself first, ties by smaller v, and the mean of its distances
-    to all rows, itself included. Each task keeps its k best of a block; a window picks among blocks."""
+    to all rows, itself included. Each block's k best are kept where they are found; a window picks among blocks."""
 
     def each(rows, ids, d):
         import numpy as np
@@ -107,6 +123,19 @@ def multiscale(x: Dense, ks: list[int], probabilistic: bool = True, m_prob: floa
     return near.select("scale", F.col("v").alias("row"), F.col("center").alias("col"), _weight(probabilistic, m_prob).alias("val"))
 
 
+def joined_scales(x: Dense, ks: list[int], probabilistic: bool = True, m_prob: float = 1.0) -> Coo:
+    """The hyperedges of all scales side by side, from one ranking: scale i's centers are columns from i times the rows."""
+    n = x.shape()[0]
+    place = F.element_at(F.map_from_arrays(F.array(*map(F.lit, ks)), F.array(*map(F.lit, range(len(ks))))), F.col("scale"))
+    df = multiscale(x, ks, probabilistic, m_prob).select("row", (F.col("col") + place.cast("long") * n).alias("col"), "val")
+    return Coo(df, n, n * len(ks))
+
+
+def split_scales(scales: DataFrame, ks: list[int], n: int) -> list[Coo]:
+    """The incidence of each scale apart, of a stored result of ``multiscale``."""
+    return [Coo(scales.where(F.col("scale") == k).select("row", "col", "val"), n, n) for k in ks]
+
+
 def hyperedge_concat(*parts: Coo | None) -> Coo:
     """Hyperedges of all parts side by side; None is skipped."""
     out, width, n = None, 0, None
@@ -166,3 +195,8 @@ def propagation(h: Coo, w: DataFrame | None = None) -> Coo:
     """S = L diag(w) R, w = 1 if not given."""
     left = left_factor(h)
     return spgemm(scale_cols(left, w) if w is not None else left, right_factor(h))
+
+
+def propagations(hs: list[Coo]) -> list[Coo]:
+    """The propagation matrix of each of several hypergraphs, as of scales apart."""
+    return [propagation(h) for h in hs]

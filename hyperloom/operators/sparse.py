@@ -85,6 +85,11 @@ def nonzero(a: Coo) -> Coo:
     return Coo(a.df.where("val != 0"), a.n_rows, a.n_cols)
 
 
+def block_offset(block: int, extent: int, blocks: int) -> int:
+    """The first global index of a block when an extent is split evenly and the last block takes what is left over."""
+    return block * (extent // blocks)
+
+
 def block_of(index: str, extent: int, blocks: int) -> Column:
     """The block that owns a global index when an extent is split evenly and the last block takes what is left over."""
     return F.least(F.floor(F.col(index) / F.lit(max(1, extent // blocks))), F.lit(blocks - 1)).cast("int")

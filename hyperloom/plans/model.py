@@ -16,12 +16,12 @@ from ..functions import vectors as V
 from ..operators import dense as D
 from ..operators import loss as L
 from ..operators import sparse as S
-from ..sources.storage import stored
+from ..sources.storage import released, stored
 from ..types import Coo, Dense
 
 
-def init(dims: list[int], bias: bool = True, by: str = "in", seed: int = 0) -> dict:
-    """Weights W0.. and biases b0.., uniform within 1 / sqrt(fan), by input or output width."""
+def init(dims: list[int], bias: bool = True, by: str = "in", seed: int = 0, constant_bias: float | None = None) -> dict:
+    """Weights W0.. and biases b0.., uniform within 1 / sqrt(fan), by input or output width; biases are ``constant_bias`` if given."""
     import numpy as np
 
     params = {}
@@ -29,7 +29,7 @@ def init(dims: list[int], bias: bool = True, by: str = "in", seed: int = 0) -> d
         rng, limit = np.random.default_rng([seed, i]), 1 / (n if by == "in" else m) ** 0.5
         params[f"W{i}"] = rng.uniform(-limit, limit, (n, m))
         if bias:
-            params[f"b{i}"] = rng.uniform(-limit, limit, m)
+            params[f"b{i}"] = rng.uniform(-limit, limit, m) if constant_bias is None else np.full(m, float(constant_bias))
     return params
 
 
@@ -152,21 +152,23 @@ class Epoch:
 
 def train(net: Network, x: Dense, labels: DataFrame, is_train: Column, params: dict, optimiser, epochs: int, schedule=None, report: int = 1) -> tuple[dict, list[Epoch]]:
     """Full-batch training: in each epoch forward, loss over the training rows, backward, a step of all parameters. The
-    metrics of every ``report``-th epoch are of its logits before the step; those of the test rows without dropout."""
+    metrics of every ``report``-th epoch are of its logits before the step; those of the test rows without dropout. What an
+    epoch stores is deleted when its step is done."""
     import time
 
     log, labels = [], stored(labels.select("row", "label"))
     n_train = labels.where(is_train).count()
     for epoch in range(epochs):
-        began = time.perf_counter()
-        logits = net.forward(x, params, epoch)
-        grads = net.backward(L.ce_gradient(logits, labels, is_train, n_train), params, epoch)
-        if epoch % report == 0:
-            shown = logits if not net.dropout else Network(net.propagation, net.dims, net.bias, net.propagate_last).forward(x, params)
-            losses = L.row_losses(shown, labels).withColumn("t", is_train)
-            train_loss, test_loss = losses.agg(F.avg(F.when(F.col("t"), F.col("loss"))), F.avg(F.when(~F.col("t"), F.col("loss")))).first()
-            test = stored(L.predictions(shown, labels).where(~is_train))
-            acc, f1 = test.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0], L.macro(test).first()["f1"]
-            log.append(Epoch(epoch, 1000 * (time.perf_counter() - began), train_loss, test_loss, acc, f1))
-        params = optimiser.step(params, grads, schedule(epoch) if schedule else None)
+        with released(x.df.sparkSession):
+            began = time.perf_counter()
+            logits = net.forward(x, params, epoch)
+            grads = net.backward(L.ce_gradient(logits, labels, is_train, n_train), params, epoch)
+            if epoch % report == 0:
+                shown = logits if not net.dropout else Network(net.propagation, net.dims, net.bias, net.propagate_last).forward(x, params)
+                losses = L.row_losses(shown, labels).withColumn("t", is_train)
+                train_loss, test_loss = losses.agg(F.avg(F.when(F.col("t"), F.col("loss"))), F.avg(F.when(~F.col("t"), F.col("loss")))).first()
+                test = stored(L.predictions(shown, labels).where(~is_train))
+                acc, f1 = test.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0], L.macro(test).first()["f1"]
+                log.append(Epoch(epoch, 1000 * (time.perf_counter() - began), train_loss, test_loss, acc, f1))
+            params = optimiser.step(params, grads, schedule(epoch) if schedule else None)
     return params, log

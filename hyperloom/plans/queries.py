@@ -16,7 +16,7 @@ from ..operators import dense as D
 from ..operators import hypergraph as H
 from ..operators import loss as L
 from ..operators import sparse as S
-from ..sources import generate, matrix_market
+from ..sources import csv, generate, matrix_market
 from ..sources.storage import scratch, stored
 from ..sources.tables import table
 from ..types import Coo, Dense
@@ -183,6 +183,11 @@ def incidence_multiscale(spark, folder):
     return H.multiscale(features(spark, folder), [5, 10]).select("scale", "row", "col", F.round("val", 6).alias("val"))
 
 
+@query("k x", CELLS + "(SELECT v AS row, center + i * (SELECT count(*) FROM x) AS col, exp(-pow(d / mean, 2)) AS val FROM k, (VALUES (5, 0), (10, 1)) t(s, i) WHERE rank <= s)")
+def incidence_scales_joined(spark, folder):
+    return _cells(H.joined_scales(features(spark, folder), [5, 10]))
+
+
 @query("h x", CELLS + "(SELECT * FROM h UNION ALL SELECT row, col + (SELECT max(row) + 1 FROM x), val FROM h)")
 def hyperedge_concat(spark, folder):
     h = vertices(spark, folder)
@@ -567,6 +572,14 @@ def matrix_market_roundtrip(spark, folder):
     return _cells(matrix_market.read_coo(spark, path))
 
 
+@query("c", CELLS + "c")
+def csv_roundtrip(spark, folder):
+    path = scratch(spark, "csv")
+    x = features(spark, folder)
+    csv.write_dense(Dense(x.df.repartition(4), *x.shape()), path)
+    return _cells(csv.read_dense(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import sys
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import config as C
-from ..sources.csv import append_log
+from ..sources.csv import append_log, hardware
 from ..sources.storage import stored
 from ..types import Coo, Dense
 from . import model, optim
@@ -27,7 +27,7 @@ def run(spark: SparkSession, cfg: C.Config, log: str | None = None, run_id: str
     x = Dense(stored(x.df), n, d)
     labels = read_labels(spark, data.labels_path)
     dims = [d, *m.hidden_dims, m.classes]
-    params = model.init(dims, m.with_bias, "in" if m.distributed else "out", seed)
+    params = model.init(dims, m.with_bias, "in" if m.distributed else "out", seed, 1.0 if m.distributed and m.learnable_w else None)
     if m.learnable_w:
         left, right = read_sparse(spark, data.dvh_path), read_sparse(spark, data.invde_ht_dvh_path)
         params["w"] = np.ones(max(left.shape()[1], right.shape()[0]))
@@ -44,12 +44,31 @@ def run(spark: SparkSession, cfg: C.Config, log: str | None = None, run_id: str
     optimiser = optim.Sgd(t.learning_rate) if m.distributed else optim.Adam(t.learning_rate)
     params, epochs = model.train(net, x, labels, F.col("row") < data.test_idx, params, optimiser, t.epochs, lambda e: decay(t.learning_rate, e, s.step_size, s.gamma), t.output_stepsize)
     if log:
+        append_log(spark, f"{log}/main_training_hw", run_id=run_id, **hardware(spark, m.distributed))
         append_log(spark, f"{log}/main_training_info", run_id=run_id, learnable_w=m.learnable_w, hidden_dims=str(m.hidden_dims), with_bias=m.with_bias, dropout_rate=float(m.dropout_rate), epochs=t.epochs, dataset=data.dataset)
         for e in epochs:
             append_log(spark, f"{log}/main_training", run_id=run_id, epoch=e.epoch, ms=int(e.ms), train_loss=e.train_loss, test_loss=e.test_loss, test_acc=e.test_acc, test_f1=e.test_f1)
     return params, epochs
 
 
+def example(spark: SparkSession, x: Dense, labels: DataFrame, how: model.Fixed | model.Factored, hidden: list[int], classes: int, test_idx: int, epochs: int = 1000, log: str | None = None, run_id: str = "example") -> tuple[dict, list[model.Epoch]]:
+    """The example preset: SGD at 0.1, constant for a hundred epochs and then times 0.8 every fifth; rows before ``test_idx``
+    train. With ``log``, run_id, cpus, epoch, ms and loss of each epoch are added to it."""
+    import numpy as np
+
+    n, d = x.shape()
+    net = model.Network(how, [d, *hidden, classes])
+    params = model.init(net.dims)
+    if isinstance(how, model.Factored):
+        params["w"] = np.ones(max(how.left.shape()[1], how.right.shape()[0]))
+    params, found = model.train(net, x, labels, F.col("row") < test_idx, params, optim.Sgd(0.1), epochs, lambda e: optim.warm_lr(0.1, e))
+    if log:
+        cpus = spark.sparkContext.defaultParallelism
+        rows = [(run_id, cpus, e.epoch, int(e.ms), e.train_loss) for e in found]
+        spark.createDataFrame(rows, "run_id string, cpus int, epoch int, ms long, loss double").coalesce(1).write.mode("append").parquet(log)
+    return params, found
+
+
 if __name__ == "__main__":
     session = SparkSession.builder.getOrCreate()
     with open(sys.argv[1], encoding="utf-8") as f:

@@ -106,3 +106,34 @@ def test_min_plus_semiring(spark):
     m = coo(spark, [[0, 1, 5], [0, 0, 2], [0, 0, 0]])
     got = {(r, c): v for r, c, v in S.spgemm(m, m, lambda x, y: x + y, F.min).df.collect()}
     assert got == {(0, 2): 3.0}
+
+
+@pytest.mark.parametrize("most", [1, 6, 40])
+def test_large_products_go_by_blocks(spark, most):
+    rng = np.random.default_rng(most)
+    a, b = rng.normal(size=(9, 7)), rng.normal(size=(7, 4))
+    np.testing.assert_allclose(array(D.matmul(dense(spark, a), dense(spark, b), most), 9, 4), a @ b)
+    np.testing.assert_allclose(array(D.matmul_bt(dense(spark, a), dense(spark, b.T.copy()), most), 9, 4), a @ b)
+    np.testing.assert_array_equal(array(D.transpose(dense(spark, a)), 7, 9), a.T)
+    with pytest.raises(ValueError):
+        D.matmul(dense(spark, a), dense(spark, a), most)
+    c = dense(spark, a[:7])
+    np.testing.assert_allclose(array(D.matmul(c, c, most), 7, 7), a[:7] @ a[:7])
+
+
+def test_shapes_must_agree(spark):
+    a, b = dense(spark, [[1.0, 2.0], [3.0, 4.0]]), dense(spark, [[1.0, 2.0]])
+    for f in (D.add, D.hadamard):
+        with pytest.raises(ValueError):
+            f(a, b)
+        with pytest.raises(Exception, match="lengths"):
+            f(Dense(a.df), Dense(dense(spark, [[1.0], [2.0]]).df)).df.collect()
+    with pytest.raises(ValueError):
+        D.add_bias(a, [1.0])
+    np.testing.assert_array_equal(array(D.add(Dense(a.df), Dense(b.df)), 2, 2), [[2, 4], [3, 4]])
+    w = spark.createDataFrame([(1, 10.0)], "idx long, val double")
+    np.testing.assert_array_equal(array(D.add_to_rows(a, w), 2, 2), [[1, 2], [13, 14]])
+
+
+def test_block_offsets():
+    assert [S.block_offset(b, 10, 3) for b in range(3)] == [0, 3, 6]

@@ -68,3 +68,14 @@ def test_concat(spark):
     np.testing.assert_allclose(got, [[0.5, 0, 0.5, 0], [-1, 0, -1, 0]])
     scales = H.multiscale(dense(spark, x), [1, 2]).groupBy("scale").count().collect()
     assert {tuple(r) for r in scales} == {(1, 2), (2, 4)}
+
+
+def test_scales_side_by_side_and_apart(spark):
+    x = np.random.default_rng(3).normal(size=(9, 2))
+    both = H.joined_scales(dense(spark, x), [2, 4])
+    parts = [brute(x, k)[1] for k in (2, 4)]
+    np.testing.assert_allclose(array(both, 9, 18), np.hstack(parts), atol=1e-9)
+    apart = H.split_scales(H.multiscale(dense(spark, x), [2, 4]), [2, 4], 9)
+    for h, s in zip(parts, H.propagations(apart)):
+        dv, de = h.sum(1), h.sum(0)
+        np.testing.assert_allclose(array(s, 9, 9), np.diag(dv**-0.5) @ h @ np.diag(1 / de) @ h.T @ np.diag(dv**-0.5), atol=1e-9)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from hyperloom.plans import benchmarks, preprocess, run
+from hyperloom.plans import benchmarks, model, preprocess, run
 from hyperloom.sources import config, mat
 
 from .test_algebra import array, dense
@@ -35,6 +35,17 @@ def test_from_features_to_training(spark, tmp_path):
         preprocess.assemble(x, None, (True, False), (False, False))
 
 
+def test_example_preset(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    y = np.arange(12) % 2
+    x = dense(spark, rng.normal(size=(12, 3)) + 3 * y[:, None])
+    m = preprocess.matrices(*preprocess.assemble(x, None, (True, False), (True, False), k=3))
+    labels = spark.createDataFrame(list(enumerate(y.tolist())), "row long, label int")
+    params, log = run.example(spark, x, labels, model.Factored(m.left, m.right), [4], 2, 9, epochs=2, log=str(tmp_path / "log"))
+    assert len(log) == 2 and params["w"].shape == (12,) and spark.read.parquet(str(tmp_path / "log")).columns == ["run_id", "cpus", "epoch", "ms", "loss"]
+    assert (model.init([3, 2], constant_bias=1.0)["b0"] == 1).all()
+
+
 def test_benchmarks(spark, tmp_path):
     took = benchmarks.products(spark, 1e-5, 2, str(tmp_path / "log"), width=4)
     assert {k: len(v) for k, v in took.items()} == {"dense": 2, "sparse": 2} and spark.read.parquet(str(tmp_path / "log")).count() == 4
