@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_tree import kept_blocks, read
-from .shared import stored
+from .shared import lean, stored
 
 #: A subtree is a template if it is on at least so many different pages of its host, however many pages the host has.
 MIN_PAGES = 4
@@ -42,7 +42,7 @@ def _subtrees(pages: DataFrame) -> DataFrame:
                 mains += [main] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (uid, hosts, keys, mains)], ["uid", "host", "key", "main"])
 
-    return pages.select("uid", "host", "html").mapInArrow(run, "uid long, host long, key long, main long")
+    return pages.select("uid", "host", "html").mapInArrow(lean(run), "uid long, host long, key long, main long")
 
 
 def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -96,4 +96,4 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, most: int = MOST_TEMPL
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "host", "html", "keys").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "host", "html", "keys").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html import host
-from .shared import let, lookup, stored, text_of
+from .shared import lean, let, lookup, stored, text_of
 
 #: Cells of the table of hashed byte trigrams.
 CELLS = 1 << 16
@@ -100,7 +100,7 @@ def fit(rows: DataFrame, most: int = MOST_FIT) -> tuple[list[str], Model]:
                 keys, total = np.zeros(0, "i8"), np.zeros(0, "i8")
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["key", "n"])
 
-    table = sample.select("i", "text").repartition(FIT_TASKS).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    table = sample.select("i", "text").repartition(FIT_TASKS).mapInArrow(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = (table.column(c).to_numpy() for c in ("key", "n"))
     return names, Model(len(names), key // CELLS, key % CELLS, n)
 
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, declared: str = "lang", site: Column | None = None
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "likely", "declared", "host", "suffix", "legible"])
 
     legible = rows.withColumn("legible", F.col("text").rlike(r"[\p{L}\p{N}]"))
-    seen = legible.mapInArrow(read, "doc_id long, likely array<double>, declared string, host string, suffix string, legible boolean")
+    seen = legible.mapInArrow(lean(read), "doc_id long, likely array<double>, declared string, host string, suffix string, legible boolean")
     top = F.array_max("likely")
     vote = F.when(F.col("legible") & (top > math.log(OTHER)), F.array_position("likely", top).cast("int") - 1)
     seen = stored(seen.withColumn("vote", vote), "likelihoods")

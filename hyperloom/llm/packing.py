@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import lean
 from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -116,4 +117,4 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, en
         if rows:
             yield out(rows)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, ddl)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run), ddl)

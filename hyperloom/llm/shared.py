@@ -44,6 +44,28 @@ def stored(df: DataFrame, kind: str = "frame") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives memory that Arrow and the C library hold unused back to the machine, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim_heap = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim_heap:
+        trim_heap(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of batches that trims its worker's memory when it ends, so that reused workers stay small."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        trim()
+
+    return trimmed
+
+
 def text_of(name: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
