@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
-from .shared import stored
+from .shared import lean, stored
 
 #: Random features, the kernel's width in standard deviations, the ridge, and the generator's seed.
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1.0, 11
 #: Most labelled rows that are fitted on; beyond, rows are chosen by a hash of doc_id.
 MOST_FIT = 200_000
-#: Most rows that calibrate, and tasks that sum the normal equations.
+#: Most rows that calibrate, chosen alike, and tasks that sum the normal equations.
 MOST_CALIBRATE, FIT_TASKS = 50_000, 16
 #: What the uncalibrated score adds, so that rows of one calibrated level keep their order.
 BLEND = 0.02
@@ -90,9 +90,9 @@ def _arrays(batch: pa.RecordBatch):
     return np.asarray(x.flatten(), "f8").reshape(len(x), -1)
 
 
-def fit(labelled: DataFrame) -> Model:
+def fit(labelled: DataFrame, calibrate: int = MOST_CALIBRATE) -> Model:
     """The model of rows (x, y, part), where part 1 calibrates and part 0 is fitted; stored. Without rows of a part the
-    other's serve; without any, every score is 0.5."""
+    other's serve; without any, every score is 0.5. About ``calibrate`` rows at most calibrate."""
     import numpy as np
 
     n, moments = labelled.count(), None
@@ -115,23 +115,28 @@ def fit(labelled: DataFrame) -> Model:
 
     fitted = labelled.where("part = 0")
     fitted = fitted if fitted.take(1) else labelled
-    parts = fitted.select("x", "y").repartition(FIT_TASKS).mapInArrow(sums, "gram array<double>, moment array<double>").collect()
+    parts = fitted.select("x", "y").repartition(FIT_TASKS).mapInArrow(lean(sums), "gram array<double>, moment array<double>").collect()
     gram, moment = (np.sum([np.array(p[i]) for p in parts], axis=0) for i in (0, 1))
     penalty = RIDGE * np.eye(FEATURES + 1)
     penalty[-1, -1] = 1e-9
     model.weights = np.linalg.solve(gram.reshape(FEATURES + 1, -1) + penalty, moment)
     held = labelled.where("part = 1")
-    held = (held if held.take(1) else labelled).orderBy(F.xxhash64("x", "y")).limit(MOST_CALIBRATE).select("x", "y").collect()
+    held = held if held.take(1) else labelled
+    share = int((1 << 30) * min(1.0, calibrate / held.count()))
+    some = held.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 30)) < share).select("x", "y").collect()
+    held = some or held.select("x", "y").take(calibrate)
     x, y = np.array([r[0] for r in held], "f8"), np.array([r[1] for r in held], "f8")
     model.levels = isotonic(model.raw(x), y)
     return model
 
 
-def scores(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, calibrate: int = MOST_CALIBRATE) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``.
 
     Statistics are of the whole text; neither labels, lang, source nor doc_id is one. Labels (doc_id, quality) count if
-    their doc_id's fold isn't 2; fold 3 calibrates. Of more than about ``most``, rows are chosen by a hash of doc_id.
+    their doc_id's fold isn't 2; fold 3 calibrates. Of more than about ``most``, rows are chosen by a hash of doc_id; of
+    fold 3, about ``calibrate`` of them at most calibrate, chosen by a hash of their statistics. A score is the calibrated
+    one, with BLEND of the uncalibrated so that rows of one calibrated level keep their order.
     Null quality and unknown doc_ids are left out; of a doc_id's several labels all count. Null and empty texts have
     the statistics 0 and a score like others; repeated rows get the same score; an empty table gives no rows.
     """
@@ -143,7 +148,7 @@ def scores(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> DataFram
     if n > most:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
     labelled = stored(stats.where("fold <> 2").join(known, "doc_id").select("x", "y", (F.col("fold") == 3).cast("int").alias("part")), "labelled")
-    model = fit(labelled)
+    model = fit(labelled, calibrate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,5 +156,5 @@ def scores(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> DataFram
                 score = pa.array(model.score(_arrays(batch)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), score], ["doc_id", "held_out", "score"])
 
-    found = stats.select("doc_id", (F.col("fold") == 2).alias("held_out"), "x").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    found = stats.select("doc_id", (F.col("fold") == 2).alias("held_out"), "x").mapInArrow(lean(run), "doc_id long, held_out boolean, score double")
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

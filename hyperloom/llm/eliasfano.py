@@ -7,6 +7,8 @@ import json
 #: Every so many ones of the upper bits have their position sampled for select.
 SAMPLE = 64
 MAGIC = b"EFTOKEN1"
+#: Ids that are read at once.
+READ = 1 << 20
 
 
 class EliasFano:
@@ -123,3 +125,17 @@ class TokenFile:
         first, end = self.bounds.select(i), self.bounds.select(i + 1)
         w = self.dtype.itemsize
         return np.frombuffer(self.source.read_at((end - first) * w, len(MAGIC) + first * w), self.dtype)
+
+    def documents(self, most: int = READ):
+        """(key, ids before it, ids) of each document in order, read about ``most`` ids at a time, one document at least."""
+        import numpy as np
+
+        w, i, n = self.dtype.itemsize, 0, len(self.keys)
+        while i < n:
+            ends = [self.bounds.select(i)]
+            while i + len(ends) <= n and (len(ends) == 1 or self.bounds.select(i + len(ends)) - ends[0] <= most):
+                ends.append(self.bounds.select(i + len(ends)))
+            block = np.frombuffer(self.source.read_at((ends[-1] - ends[0]) * w, len(MAGIC) + ends[0] * w), self.dtype)
+            for a, b in zip(ends, ends[1:]):
+                yield self.keys[i], a, block[a - ends[0] : b - ends[0]]
+                i += 1

@@ -24,8 +24,11 @@ PARTS = frozenset(
     subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar
     copyright skip toc""".split()
 )
-#: A class that begins so tells of a part elsewhere, as has-sidebar does.
-LAYOUT = ("has-", "with-", "no-", "without-", "is-")
+#: What else a class or id that names such a part may hold, before or after its word.
+FRAMES = frozenset(
+    """main site page top bottom left right global primary secondary inner outer wrapper wrap container box block bar list area section
+    links item items panel slot unit buttons button form thread 1 2 3 4""".split()
+)
 #: What an opening tag closes if it is open and no element of the second set stands between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -91,8 +94,14 @@ def _is_apart(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if tag in ("html", "body", "main", "article"):
         return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
-    return any(not PARTS.isdisjoint(_WORDS.findall(x)) for x in names if not x.startswith(LAYOUT))
+    return any(_names_part(x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split())
+
+
+def _names_part(name: str) -> bool:
+    """Whether a class or id is a part's word, alone or beside words that only frame it: site-header and ad-slot are, but
+    not entry-header, content-with-sidebar or social-history."""
+    words = _WORDS.findall(name)
+    return any(w in PARTS for w in words) and all(w in PARTS or w in FRAMES for w in words)
 
 
 def read(html: str) -> Page:

@@ -55,8 +55,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     size is the text's number of words (null: 0). Sources ordered by code point, null last (a source of its own), have
     ``weights`` in turn and share ``share`` times all words; a source's target stops at ``epochs`` times its words and
     the excess goes to the others by weight. Every document is taken as many whole times as the target holds its
-    source; for the rest, documents are taken in the order of a seeded digest of doc_id until the target (rounded down)
-    is reached, the last of them in part. Each source's taken words so equal its target rounded down, and no document
+    source; for the rest, documents are taken in the order of a seeded digest of doc_id (without one, of the text) until the
+    target (rounded down) is reached, the last of them in part. Texts are counted whole, however long. Each source's taken words so equal its target rounded down, and no document
     exceeds ``epochs`` times its size. Ties of the digest (repeated or null doc_ids) go by size and text; equal rows
     are interchangeable. An empty table gives no rows; sources without words have target 0.
 
@@ -64,7 +64,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     which the target falls is sorted.
     """
     source = F.col("source").cast("string")
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    digest = F.md5(F.concat(F.lit(seed + ":"), name))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), n_words().alias("size"), digest.alias("digest"), F.xxhash64("text").alias("tie"))
     rows = stored(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("bucket", F.conv(F.substring("digest", 1, DIGITS), 16, 10).cast("int")), "sizes")
     buckets = stored(rows.groupBy("key", "bucket").agg(F.sum("size").alias("words")), "buckets")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, dedup, html, language, mixing, packing, pii, rules, simhash, token_files
+from .shared import stored
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,7 +20,9 @@ def op1_html(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = dedup.DigestIndex(spark).deduplicate(_table(spark, folder, "documents"))
+    index = dedup.DigestIndex(spark)
+    found = index.deduplicate(_table(spark, folder, "documents"))
+    index.drop()  # what is found is written apart
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -33,7 +36,7 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_rules(spark: SparkSession, folder: str) -> DataFrame:
-    entries = rules.ledger(_table(spark, folder, "documents"))
+    entries = stored(rules.ledger(_table(spark, folder, "documents")), "ledger")
     base = ~rules.passes("base")
     return entries.select("doc_id", *rules.MEASURES[:5], base.alias("base_failed"), rules.passes().alias("kept"))
 

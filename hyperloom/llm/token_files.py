@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .eliasfano import TokenFile, TokenFileWriter
-from .shared import scratch, stored, text_of
+from .shared import lean, scratch, stored, text_of
 from .tokens import encoder, vocabulary
 
 END_ID = 2
@@ -35,7 +35,7 @@ def write(docs: DataFrame, folder: str | None = None, vocab: str | None = None,
     Documents are dealt to files by ranges of doc_id (null first), and of their texts' hash where doc_ids repeat, and
     sorted so within. A file has a name of its own for each attempt at a task, and the manifest names those of the
     attempts that counted, so that a task that is run again leaves no wrong file in the result. The driver gathers one
-    row a file. Null and empty texts are the end id alone; an empty table makes no file; other columns are ignored.
+    row a file. Null and empty texts are the end id alone; long texts are encoded whole; equal rows lie side by side; an empty table makes no file; other columns are ignored.
     """
     spark = docs.sparkSession
     folder, path = folder or scratch(spark, "tokens"), vocab or vocabulary()
@@ -62,7 +62,7 @@ def write(docs: DataFrame, folder: str | None = None, vocab: str | None = None,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    files = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "part long, path string, documents long, tokens long")
+    files = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(run), "part long, path string, documents long, tokens long")
     made, first = [], 0
     for part, name, documents, tokens in sorted(stored(files, "manifest").collect()):
         made.append((part, f"{folder}/{name}", first, documents, tokens))
@@ -71,19 +71,25 @@ def write(docs: DataFrame, folder: str | None = None, vocab: str | None = None,
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: start counts the ids of all documents before it."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: start counts the ids of all documents before it.
+    A file's ids are read in blocks."""
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        names = ("doc_id", "start", "n_tokens", "ids_crc32")
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in batch.to_pylist():
                 system, name = _file_system(at["path"])
                 with system.open_input_file(name) as source:
-                    file = TokenFile(source, source.size())
                     out = []
-                    for i, key in enumerate(file.keys):
-                        ids = file.ids(i)
-                        out.append((key, at["first"] + file.bounds.select(i), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                names = ("doc_id", "start", "n_tokens", "ids_crc32")
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
-
-    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, ROWS)
+                    for key, start, ids in TokenFile(source, source.size()).documents():
+                        out.append((key, at["first"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        if len(out) == 10_000:
+                            yield told(out)
+                            out = []
+                    if out:
+                        yield told(out)
+
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(lean(run), ROWS)

@@ -1,7 +1,9 @@
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from hyperloom.llm import classifier, html, language, pii, rules
@@ -28,6 +30,37 @@ def test_main_text(page, want):
     assert " ".join(kept_blocks(read(page), ())) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>x</article>', "Title x"), ('<body class="content-with-sidebar"><p>x</p></body>', "x"), ('<main><div class="social-history">a</div>b</main>', "a b"),
+        ('<div class="site-header">a</div><p>b</p><div class="ad-slot-2">c</div><div class="sidebar left">d</div><div id="comments">e</div><div class="main-nav">f</div>', "b"),
+        ('<p class="noticed adverse headers-up">a</p><p class="share-buttons">b</p>', "a"),
+    ],
+)
+def test_classes_name_parts_as_a_whole(page, want):
+    """A class tells of a menu or the like only if nothing but words that frame it stand beside."""
+    assert " ".join(kept_blocks(read(page), ())) == want
+
+
+def test_templates_equal_brute_force(spark):
+    """Boxes that are on four different pages of a host go, others stay, whatever the host's size; without counting none would go."""
+    random.seed(9)
+    rows, own, want = [], {}, {}
+    boxes = [f"<div><span>Box {b} of the site</span></div>" for b in range(30)]
+    for i in range(200):
+        host, has = f"h{random.randrange(6)}", random.sample(range(30), 2)
+        own[i] = (host, has, f"Own words of page {i}")
+        rows.append((i, f"https://{host}.example/{i}", f"<body>{boxes[has[0]]}<div><p>{own[i][2]}</p></div>{boxes[has[1]]}</body>"))
+    for i, (host, has, text) in own.items():
+        on = [sum(b in h and g == host for g, h, _ in own.values()) for b in has]
+        parts = [f"Box {has[0]} of the site", text, f"Box {has[1]} of the site"]
+        want[i] = " ".join(t for t, n in zip(parts, (on[0], 0, on[1])) if n < html.MIN_PAGES)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+    assert sum(len(t) for t in want.values()) < sum(r.n_chars for r in html.extract(df, min_pages=1000).collect())
+
+
 def test_deep_and_broken_pages_take_time_in_proportion():
     for page in ("<div>" * 20_000 + "x", "<i>" * 50_000 + "x" + "</b>" * 50_000, '<a "' * 20_000, "<p>a &amp; b <b>" * 10_000):
         read(page)
@@ -75,7 +108,13 @@ def test_rules(spark):
         g = got[r.doc_id, len(words)]
         assert (g.word_chars, g.n_symbols, g.n_dup_lines) == (sum(map(len, words)), len(re.findall("[#*$%&|<>]", r.text or "")), len(lines) - len(set(lines)))
         assert g.n_repeat_words == repeats(words)
-    assert rules.ledger(empty(spark)).count() == 0 and rules.ledger(awkward(spark)).count() == 14
+    assert rules.ledger(empty(spark)).count() == 0 and len(rules.ledger(awkward(spark)).collect()) == 14
+    long = "word another thing " * 4000 + "and a last line\n" * 50
+    got = rules.ledger(spark.createDataFrame([(1, long, "", "", 0)], SCHEMA)).first()
+    words, lines = long.split(), [x for x in long.split("\n") if x]
+    twice = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i, g in enumerate(zip(words, words[1:], words[2:])) if twice[g] > 1 for k in range(3)}
+    assert (got.n_words, got.n_repeat_words, got.n_dup_lines) == (len(words), len(covered), len(lines) - len(set(lines)))
     entries = rules.ledger(df)
     report = {r.rule: (r.fails, r.only) for r in rules.ablations(entries).collect()}
     assert set(report) == set(rules.RULES)
@@ -223,3 +262,104 @@ def test_language_of_a_small_share(spark):
     got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i].lang == (x or "fi") and got[i].kept for i, _, x, _, _ in rows)
     assert len(got) == len(rows)
+
+
+def test_classifier_solves_the_normal_equations(spark):
+    """The weights are those of one ridge regression over all fitted rows at once."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, len(classifier.statistics())))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    rows = [([float(v) for v in a], float(b), int(i % 4 == 0)) for i, (a, b) in enumerate(zip(x, y))]
+    model = classifier.fit(spark.createDataFrame(rows, "x array<double>, y double, part int").repartition(5))
+    fitted = np.arange(300) % 4 != 0
+    z = model.features(x[fitted])
+    penalty = classifier.RIDGE * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    np.testing.assert_allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y[fitted]), rtol=1e-6, atol=1e-8)
+    few = classifier.fit(spark.createDataFrame(rows, "x array<double>, y double, part int"), calibrate=20)
+    assert 1 <= len(few.levels[0]) <= 40 and (np.diff(model.levels[1]) > 0).all()
+    distance = ((x[:40, None] - x[None, :40]) ** 2 / model.scale**2).sum(-1)
+    kernel = np.exp(-distance / (2 * classifier.WIDTH**2))
+    near = model.features(x[:40])[:, :-1]
+    assert abs(near @ near.T - kernel).mean() < 0.06
+
+
+def test_language_posterior_equals_brute_force(spark):
+    """Text, declaration and smoothed host prior multiplied, a wrong declaration and a host of one language among them."""
+    random.seed(3)
+    words = {"en": "the of and to in that is was he for it with".split(), "de": "der die und in den von zu das mit sich".split(), "fr": "le la les de et que des un une dans".split()}
+    rows = []
+    for i in range(240):
+        lang = ("en", "de", "fr")[i % 3]
+        rows.append((i, " ".join(random.choices(words[lang], k=random.randint(2, 12))), lang, f"{lang}host" if i % 2 else "mixed", 0))
+    rows += [(900, " ".join(words["de"] * 3), "fr", "dehost", 0), (901, "in", None, "dehost", 0), (902, "in", None, "enhost", 0), (903, "in", "xx", None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    url = F.concat(F.lit("http://"), F.coalesce("source", F.lit("none")), F.when(F.col("source") == "mixed", ".org").otherwise(".de"))
+    got = {r.doc_id: r for r in language.identify(df.withColumn("address", url), url="address").collect()}
+    prepared = language._prepared(df.withColumn("address", url), "lang", F.col("source"), "address")
+    names, model = language.fit(prepared)
+    n, told = len(names), {r.doc_id: r for r in prepared.collect()}
+    likely = {i: model.likely(t.text.encode()) * language.TEMPER for i, t in told.items()}
+    vote = {i: int(x.argmax()) for i, x in likely.items() if x.max() > np.log(language.OTHER)}
+    smooth = language.SMOOTH
+
+    def share(ids, parent):
+        c = np.bincount([vote[i] for i in ids if i in vote], minlength=n)
+        return (c + smooth * parent) / (c.sum() + smooth)
+
+    whole = np.bincount(list(vote.values()), minlength=n)
+    whole = (whole + 1) / (whole.sum() + n)
+    by_suffix, by_host = defaultdict(list), defaultdict(list)
+    for i, t in told.items():
+        by_suffix[t.suffix].append(i)
+        by_host[t.host, t.suffix].append(i)
+    prior = {k: share(v, share(by_suffix[k[1]], whole)) for k, v in by_host.items()}
+    said = Counter((t.declared, vote[i]) for i, t in told.items() if t.declared in names and i in vote)
+    for i, t in told.items():
+        logs = likely[i] + np.log(prior[t.host, t.suffix])
+        if t.declared in names:
+            for k in range(n):
+                given = smooth + sum(said[d, k] for d in names)
+                logs[k] += np.log((said[t.declared, k] + smooth * (0.9 if t.declared == names[k] else 0.1 / (n - 1))) / given)
+        logs = np.append(logs, np.log(language.OTHER) - np.log(n))
+        p = np.exp(logs - logs.max())
+        assert got[i].lang == [*names, language.UNKNOWN][int(p.argmax())]
+        assert abs(got[i].posterior - p.max() / p.sum()) < 1e-9
+    assert got[900].lang == "de" and got[901].lang == "de"
+
+
+def test_disclosures_equal_brute_force(spark):
+    """Shares and bits of all pairs of term and entity, counted directly."""
+    random.seed(12)
+    names, people = [f"Name{chr(97 + i)}x" for i in range(8)], [f"p{i}@mail.example" for i in range(8)]
+    texts = []
+    for i in range(400):
+        k = random.randrange(40)
+        parts = random.choices("alpha beta gamma delta common words".split(), k=5)
+        if k < 8:
+            parts += [people[k]] if random.random() < 0.8 else []
+            parts += [names[k]] if random.random() < 0.7 else []
+        texts.append(" ".join(random.sample(parts, len(parts))))
+    texts += [texts[0]] * 5 + [None]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    found = pii.stored(pii.entities(df), "entities")
+    got = {(r.term, r.entity): (r.share, r.bits) for r in pii.disclosures(found).collect()}
+    hashed = {r.t: r.h for r in spark.createDataFrame([(w,) for w in {x.lower() for t in texts for x in re.findall(r"[A-Za-z]{3,}", re.sub(PLAIN["email"], " ", t or ""))}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    codes = {r.v: r.h for r in spark.createDataFrame([(v,) for v in people], "v string").select("v", F.xxhash64(F.lit(0), "v").alias("h")).collect()}
+    want = {}
+    with_term, with_entity = defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for w in set(re.findall(r"[a-z]{3,}", re.sub(PLAIN["email"], " ", t or "").lower())):
+            with_term[w].add(i)
+        for e in people:
+            if e in (t or "").split():
+                with_entity[e].add(i)
+    for w, a in with_term.items():
+        for e, b in with_entity.items():
+            both = a & b
+            share = len(both) / len(a)
+            bits = np.log2(share * len(texts) / len(b)) if both else -1
+            if len({texts[i] for i in both}) >= pii.MIN_TEXTS and share >= pii.MIN_SHARE and bits >= pii.MIN_BITS:
+                want[hashed[w], codes[e]] = (share, bits)
+    assert set(got) == set(want) and len(want) >= 3
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)

@@ -115,3 +115,45 @@ def test_token_files(spark, tokenizer):
     ends = sorted((r.start, r.start + r.n_tokens) for r in got)
     assert all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     assert token_files.read(spark, token_files.write(empty(spark))).count() == 0
+
+
+def test_files_are_read_in_blocks():
+    sink = io.BytesIO()
+    sink.close, kept = (lambda: None), []
+    writer = TokenFileWriter(sink, False)
+    for k in range(50):
+        kept.append((k if k % 7 else None, np.arange(k * 3 % 11, dtype="u4")))
+        writer.add(*kept[-1])
+    writer.close()
+    data = sink.getvalue()
+
+    class Source:
+        reads = 0
+
+        def read_at(self, n, at):
+            self.reads += 1
+            return data[at : at + n]
+
+    for most in (1, 20, 1 << 20):
+        source = Source()
+        file = TokenFile(source, len(data))
+        before, source.reads = 0, 0
+        for (key, ids), (k, start, got) in zip(kept, file.documents(most), strict=True):
+            assert (k, start, got.tolist()) == (key, before, ids.tolist())
+            before += len(ids)
+        assert source.reads <= 50 and (most < 1 << 20 or source.reads == 1)
+
+
+def test_the_memo_starts_anew(tokenizer, monkeypatch):
+    """Ids are the same whatever the memo holds, for words of letters that normalising splits too."""
+    from hyperloom.llm import tokens
+
+    random.seed(1)
+    words = ["İstanbul", "क़लम", "naïve", "ﬁne", "Å", "日本", "e\u0301", "x" * 60, "ab!?", "c,", "don't", "½", "٣!", "ǆ."]
+    texts = [" ".join(random.choices(words, k=30)) + " " + " ".join("".join(random.choices("abcdé", k=4)) for _ in range(20)) for _ in range(40)]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(tokens, "GROUP", 1000)
+    for memo in (10, 1 << 20):
+        monkeypatch.setattr(tokens, "MEMO", memo)
+        coder = tokens.WordEncoder(vocabulary())
+        assert [bytes(x) for at in (0, 20) for x in coder.encode(pa.array(texts[at : at + 20]))] == want
