@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import HEAVY, keep_ids, lookup, stored, text_of
+from .components import components, forest
+from .shared import MOST_IDS, keep_ids, lean, lookup, stored, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -50,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             found = [fingerprint(t.as_py()) for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 class GolayAnchors:
@@ -109,14 +111,14 @@ class GolayAnchors:
         (a, _), (b, _) = self.halves(fp)
         return a << INFO | b
 
-    def near(self, fp, reach: int = BITS):
+    def near(self, fp):
         """(position in fp, anchor) of each further anchor to which a fingerprint is replicated: those within the covering
-        radius plus ``reach``, as 3 + i and 3 + j bits of the halves with i + j <= reach."""
+        radius plus BITS, as 3 + i and 3 + j bits of the halves with i + j <= BITS."""
         import numpy as np
 
         (a, s), (b, t) = self.halves(fp)
         at = np.arange(len(fp))
-        for i, j in [(i, j) for i in range(reach + 1) for j in range(reach + 1 - i) if i + j]:
+        for i, j in [(i, j) for i in range(BITS + 1) for j in range(BITS + 1 - i) if i + j]:
             x = self.more[i][s] if i else np.zeros((len(fp), 1), "i8")
             y = self.more[j][t] if j else np.zeros((len(fp), 1), "i8")
             x, y = x[:, :, None], y[:, None, :]
@@ -125,23 +127,36 @@ class GolayAnchors:
             yield np.broadcast_to(at[:, None, None], ok.shape)[ok], anchor[ok]
 
 
-def _forest(a, b):
-    """Of links a-b the trees (node, smallest node of its tree)."""
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+def _met(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[tuple]:
+    """Of rows (place, role, others) sorted by place and role, 0 for a home and 1 for what is compared with the place's
+    homes: positions i and j of what is compared and of a home, and the other columns of both, ``block`` pairs at once.
+    Homes of the last place are held until the next begins."""
     import numpy as np
 
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    u, v, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = new[new]
-        if (new == label).all():
-            return nodes[label != np.arange(len(nodes))], nodes[label[label != np.arange(len(nodes))]]
-        label = new
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        place, role, *others = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        probe = role == 1
+        homes = [c[~probe] for c in (place, *others)]
+        if held is not None:
+            homes = [np.concatenate(x) for x in zip(held, homes)]
+        probes = [c[probe] for c in (place, *others)]
+        lo, hi = np.searchsorted(homes[0], probes[0], "left"), np.searchsorted(homes[0], probes[0], "right")
+        upto, at = np.concatenate(([0], np.cumsum(hi - lo))), 0
+        while at < len(lo):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + block, "right")) - 1)
+            n = (hi - lo)[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            yield i, np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n) + lo[i], probes[1:], homes[1:]
+            at = to
+        last = homes[0] == place[-1]
+        held = [c[last] for c in homes]
 
 
 def links(classes: DataFrame, homes: int = HOMES) -> DataFrame:
@@ -159,26 +174,24 @@ def links(classes: DataFrame, homes: int = HOMES) -> DataFrame:
             home = anchors.home(batch.column(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(home)], ["anchor"])
 
-    total = classes.count()
-    most = max(homes, -(-total // HEAVY))
-    full = classes.select("fp").mapInArrow(at_home, "anchor long").groupBy("anchor").count().where(F.col("count") > most)
-    parts = {r[0]: -(-r[1] // homes) for r in full.collect()}  # at most HEAVY anchors hold so many
-    told = spark.sparkContext.broadcast(parts)
+    full = classes.select("fp").mapInArrow(lean(at_home), "anchor long").groupBy("anchor").count().where(F.col("count") > homes).toArrow()
+    anchor, n = (full.column(i).to_numpy() for i in (0, 1))  # of 1 << 2 * INFO anchors at most
+    order = anchor.argsort()
+    told = spark.sparkContext.broadcast((anchor[order], -(-n[order] // homes)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        anchors, split = GolayAnchors(), np.array(sorted(told.value.items()), "i8").reshape(-1, 2)
+        anchors, (split, times) = GolayAnchors(), told.value
 
         def n_parts(anchor):
             if not len(split):
                 return np.ones(len(anchor), "i8")
-            i = np.minimum(np.searchsorted(split[:, 0], anchor), len(split) - 1)
-            return np.where(split[i, 0] == anchor, split[i, 1], 1)
+            i = np.minimum(np.searchsorted(split, anchor), len(split) - 1)
+            return np.where(split[i] == anchor, times[i], 1)
 
         def rows(anchor, part, probe, fp, rep):
-            key = (anchor << 16 | part) << 1 | probe
-            return pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(key), pa.array(fp), pa.array(rep)], ["place", "key", "fp", "rep"])
+            return _batch(place=anchor << 32 | part, role=np.full(len(fp), probe, "i8"), fp=fp, rep=rep)
 
         for batch in batches:
             for at in range(0, len(batch), 4096):
@@ -192,436 +205,278 @@ def links(classes: DataFrame, homes: int = HOMES) -> DataFrame:
                     yield rows(anchor[again], part, 1, fp[i[again]], rep[i[again]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's rows come sorted by key: at each place the homes, then what is compared with them."""
         import numpy as np
 
-        empty = np.zeros(0, "i8")
-        held, found, n_found = (empty, empty, empty), [], 0
+        found, n_found = [], 0
 
         def out():
-            a, b = _forest(*(np.concatenate(x) for x in zip(*found)))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            place, key, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            probe = (key & 1).astype(bool)
-            homes_at, homes_fp, homes_rep = (np.concatenate((h, x[~probe])) for h, x in zip(held, (place, fp, rep)))
-            p_at, p_fp, p_rep = place[probe], fp[probe], rep[probe]
-            lo, hi = np.searchsorted(homes_at, p_at, "left"), np.searchsorted(homes_at, p_at, "right")
-            upto = np.concatenate(([0], np.cumsum(hi - lo)))
-            at = 0
-            while at < len(p_at):
-                to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
-                n = (hi - lo)[at:to]
-                i = np.repeat(np.arange(at, to), n)
-                j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n) + lo[i]
-                near = np.bitwise_count((p_fp[i] ^ homes_fp[j]).view("u8")) <= BITS
-                near &= p_rep[i] != homes_rep[j]
-                if near.any():
-                    found.append(_forest(p_rep[i[near]], homes_rep[j[near]]))
-                    n_found += len(found[-1][0])
-                at = to
-            last = homes_at == place[-1]
-            held = homes_at[last], homes_fp[last], homes_rep[last]
+            a, b = forest(*(np.concatenate(x) for x in zip(*found)))
+            return _batch(a=a, b=b)
+
+        for i, j, (fp, rep), (fp2, rep2) in _met(batches):
+            near = np.bitwise_count((fp[i] ^ fp2[j]).view("u8")) <= BITS
+            near &= rep[i] != rep2[j]
+            if near.any():
+                found.append(forest(rep[i[near]], rep2[j[near]]))
+                n_found += len(found[-1][0])
             if n_found > 500_000:
                 yield out()
                 found, n_found = [], 0
         if found:
             yield out()
 
-    dealt = classes.select("fp", "rep").mapInArrow(deal, "place long, key long, fp long, rep long")
-    return dealt.repartition("place").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    dealt = classes.select("fp", "rep").mapInArrow(lean(deal), "place long, role long, fp long, rep long")
+    return dealt.repartition("place").sortWithinPartitions("place", "role").mapInArrow(lean(compare), "a long, b long")
 
 
-#: Fingerprints of the word sets by which similar texts are found, and the differing bits of all together that still count.
-SETS, SET_BITS = 4, 40
+#: Words of the shingles of which similar texts share most, and the share (shared to all) from which texts are similar.
 WORDS, SIMILARITY = 5, 0.8
-NAMES = [f"w{k}" for k in range(SETS)]
-PRINTS = ", ".join(f"{name} long" for name in NAMES)
-
-
-def set_prints(docs: DataFrame) -> DataFrame:
-    """doc_id and w0.. w3: SimHashes of the set of a text's words, each from another mixing of the words' hashes. Rows
-    without doc_id or words have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from xxhash import xxh64_intdigest
-
-        odd = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & (1 << 64) - 1) for k in range(SETS)]
-        for batch in batches:
-            ids, prints = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                words = set(text.as_py().lower().split())
-                if not words:
-                    continue
-                hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in words), "u8", len(words))
-                found = []
-                for m in odd:
-                    x = hashes * m
-                    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-                    ones = np.unpackbits((x ^ x >> np.uint64(32)).view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype="i4")
-                    found.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "little", signed=True))
-                ids.append(doc)
-                prints.append(found)
-            columns = [pa.array(ids, pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in range(SETS))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *NAMES])
-
-    schema = f"doc_id long, {PRINTS}"
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
-
-
-#: A similar text is sought among this many nearest at first, and among NEXT times as many where none of them is one.
-FIRST, NEXT = 1, 64
-#: Anchors to which a fingerprint is dealt at most (home, and five more for each half), of all its fingerprints.
-ANCHORS = 11 * SETS
-#: Documents whose places are few enough to broadcast.
+#: Documents that tell which shingles are frequent, and in how many of them one that is frequent is seen.
+SAMPLE, FREQUENT = 4_000, 2
+#: Rounds in which each document meets one other, before those that are left meet all.
+ROUNDS = 2
+#: A text's sketch: for each of 64 * SKETCH cells whether an odd number of its shingles is there.
+SKETCH = 8
+#: Texts whose sketches are few enough to broadcast.
 FEW = 10_000
+CELLS = [f"b{i}" for i in range(SKETCH)]
+SKETCHED = ", ".join(f"{b} long" for b in CELLS)
 
 
-def _deal(prints: DataFrame, then, schema: str) -> DataFrame:
-    """``then`` (place, columns doc_id, w0.. w3, search) of what is dealt to each fingerprint's anchors within the covering
-    radius plus 1; two fingerprints that differ in 2 bits have a word between them, whose anchor both so reach."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        anchors = GolayAnchors()
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                wide = [batch.column(i).slice(at, 4096).to_numpy(zero_copy_only=False) for i in range(SETS + 2)]
-                for k in range(SETS):
-                    everyone = np.arange(len(wide[0]))
-                    for i, anchor in [(everyone, anchors.home(wide[k + 1])), *anchors.near(wide[k + 1], 1)]:
-                        if len(i):
-                            yield then(anchor << 2 | k, [c[i] for c in wide])
+def _shingles(text: bytes, words: int = WORDS):
+    """The hashes of a text's different shingles, sorted, A-Z lowered; a shorter text is one shingle."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
 
-    return prints.select("doc_id", *NAMES, "search").mapInArrow(run, schema)
+    w = text.lower().split()
+    parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else (b" ".join(w),) if w else ()
+    return np.unique(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), "u8")).view("i8")
 
 
-def _batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+def _lists(lists: list) -> pa.Array:
+    import numpy as np
 
+    ends = pa.array(np.cumsum([0, *map(len, lists)], dtype="i4"))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists) if lists else np.zeros(0, "i8"), pa.int64()))
 
-def crowds(prints: DataFrame, homes: int = HOMES) -> dict[int, tuple]:
-    """The places to which more than ``homes`` rows are dealt (and over 1/HEAVY of all): number of rows, and the id and
-    fingerprints of the smallest doc_id there.
 
-    A place is a pair of codewords, and what is dealt to it has one of them at home. So only places are counted whose
-    codewords are those of so many rows; the codewords themselves are few.
-    """
-    spark = prints.sparkSession
-    most = max(homes, -(-prints.count() * ANCHORS // HEAVY))
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple]:
+    """Slices of a batch, which bound a worker's memory: doc_ids and texts as bytes."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            some = batch.slice(at, rows)
+            yield some.column(0), (t.as_py() for t in some.column(1).cast(pa.large_binary()))
 
-    def codewords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = GolayAnchors()
-        for batch in batches:
-            for k in range(SETS):
-                for side, (word, _) in enumerate(anchors.halves(batch.column(k).to_numpy(zero_copy_only=False))):
-                    yield _batch(word=(2 * k + side) << INFO | word)
 
-    counted = prints.select(*NAMES).mapInArrow(codewords, "word long").groupBy("word").count().where(F.col("count") > most // 2)
-    told = spark.sparkContext.broadcast({r[0]: r[1] for r in counted.collect()})  # of at most 8 << INFO
-    if not told.value:
-        return {}
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
-    def busy(place, wide):
-        import numpy as np
 
-        n = np.zeros(2 * SETS << INFO, "i8")
-        n[list(told.value)] = list(told.value.values())
-        k, anchor, low = place & 3, place >> 2, (1 << INFO) - 1
-        ok = n[2 * k << INFO | anchor >> INFO] + n[(2 * k + 1) << INFO | anchor & low] > most
-        return _batch(place=place[ok], doc_id=wide[0][ok], **{name: w[ok] for name, w in zip(NAMES, wide[1:])})
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id and shingles: the hashes of the text's different shingles."""
 
-    places = _deal(prints, busy, f"place long, doc_id long, {PRINTS}")
-    full = stored(places.groupBy("place").count().where(F.col("count") > most), "crowds")  # at most HEAVY
-    first = places.join(F.broadcast(full), "place").groupBy("place").agg(F.first("count").alias("n"), F.min(F.struct("doc_id", *NAMES)).alias("first"))
-    return {r["place"]: (r["n"], *r["first"]) for r in first.collect()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _texts(batches):
+            yield pa.RecordBatch.from_arrays([ids, _lists([_shingles(t) for t in texts])], ["doc_id", "shingles"])
 
+    return _named(docs).mapInArrow(lean(run), "doc_id long, shingles array<long>")
 
-def leaders(prints: DataFrame, crowded: dict[int, tuple]) -> DataFrame:
-    """doc_id, partner: rows of crowded places with the smallest doc_id of such a place, where their fingerprints allow it;
-    of several the nearest. A narrow pass, which spares most of a large class the comparison with all of it."""
-    told = prints.sparkSession.sparkContext.broadcast(crowded)
 
-    def meet(place, wide):
-        import numpy as np
+def _apart(size: int, similarity: float) -> int:
+    """The most shingles of a text with ``size`` that a similar text lacks."""
+    return size - math.ceil(similarity * size - 1e-6)
 
-        doc, *own, _ = wide
-        met = np.array(sorted((p, *c[1:]) for p, c in told.value.items()), "i8").reshape(-1, SETS + 2)
-        j = np.minimum(np.searchsorted(met[:, 0], place), len(met) - 1)
-        total = sum(np.bitwise_count((w ^ met[j, k + 2]).view("u8")).astype("i8") for k, w in enumerate(own))
-        ok = (met[j, 0] == place) & (met[j, 1] < doc) & (total <= SET_BITS)
-        return _batch(doc_id=doc[ok], partner=met[j, 1][ok], total=total[ok])
 
-    found = _deal(prints, meet, "doc_id long, partner long, total long")
-    return found.groupBy("doc_id").agg(F.min(F.struct("total", "partner")).alias("best")).select("doc_id", "best.partner")
+def _more(size: int, similarity: float) -> int:
+    """How many shingles beyond those that a similar text may lack and one are dealt out: half as many again."""
+    return (_apart(size, similarity) + 1) // 2
 
 
-def candidates(prints: DataFrame, crowded: dict[int, tuple], most: int, homes: int = HOMES) -> DataFrame:
-    """doc_id, partner, more: for rows with ``search`` the ``most`` nearest documents of smaller doc_id by the bits of all
-    fingerprints, among all that differ in at most BITS bits of one and SET_BITS in all; ``more`` tells that there are more.
+def signatures(docs: DataFrame, frequent: tuple, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, size, least, rare and the sketch b0.. b7 of each text with words. size is its number of different shingles;
+    rare are so many of the rarest that a similar text has ``least`` of them, or more, among its own. Their order is that
+    of ``frequent`` (sorted shingles, counts), which needn't be exact: any order common to all texts will do. Two sketches
+    differ in at most as many bits as the sets differ in shingles.
 
-    At a place, each row that searches is compared with all rows of smaller doc_id. A crowded place is split: its rows are
-    dealt to parts, and those that search go to each part.
+    Of the _apart + 1 + _more shingles that come first, a similar text lacks _apart at most. Of those that both texts have,
+    each text's first ones are the same, so both deal out 1 + _more of the smaller text, whose size is ``similarity`` of
+    the other's or more.
     """
-    spark = prints.sparkSession
-    told = spark.sparkContext.broadcast({p: -(-c[0] // homes) for p, c in crowded.items()})
-
-    def deal(place, wide):
-        import numpy as np
-
-        doc, *own, search = wide
-        split = np.array(sorted(told.value.items()), "i8").reshape(-1, 2)
-        n = np.ones(len(place), "i8")
-        if len(split):
-            j = np.minimum(np.searchsorted(split[:, 0], place), len(split) - 1)
-            n = np.where(split[j, 0] == place, split[j, 1], 1)
-        part = (doc * 0x9E3779B1 >> 20) % n
-        times = np.where(search, n, 1)
-        i = np.repeat(np.arange(len(place)), times)
-        at = np.where(search[i], np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times), part[i])
-        role = search[i] * 2 + (at == part[i])
-        return _batch(place=place[i] << 32 | at, role=role.astype("i8"), doc_id=doc[i], **{name: w[i] for name, w in zip(NAMES, own)})
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by place and doc_id; those of the last place that can be met are held until the next begins."""
-        import numpy as np
-
-        held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            place, role, doc, *wide = now
-            met, probe = role & 1 > 0, np.flatnonzero(role > 1)
-            homes_of = [c[met] for c in (place, doc, *wide)]
-            first = 0 if held is None else len(held[0])
-            if held is not None:
-                homes_of = [np.concatenate(x) for x in zip(held, homes_of)]
-            h_place, h_doc, *h_wide = homes_of
-            lo = np.searchsorted(h_place, place[probe], "left")
-            hi = np.maximum(first + (np.cumsum(met) - met)[probe], lo)  # the homes before the row
-            upto, at = np.concatenate(([0], np.cumsum(hi - lo))), 0
-            while at < len(probe):
-                to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
-                n = (hi - lo)[at:to]
-                i = np.repeat(np.arange(at, to), n)
-                j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n) + lo[i]
-                bits = [np.bitwise_count((w[probe[i]] ^ h[j]).view("u8")).astype("i8") for w, h in zip(wide, h_wide)]
-                total = sum(bits)
-                own = np.choose(place[probe[i]] >> 32 & 3, bits) if len(i) else total
-                ok = (own <= BITS) & (total <= SET_BITS) & (doc[probe[i]] != h_doc[j])
-                if ok.any():
-                    i, partner, total = i[ok], h_doc[j[ok]], total[ok]
-                    order = np.lexsort((partner, total, i))
-                    i, partner, total = i[order], partner[order], total[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
-                    more = np.searchsorted(i, i, "right") - np.searchsorted(i, i, "left") > most
-                    near = rank < most
-                    yield _batch(doc_id=doc[probe[i[near]]], partner=partner[near], total=total[near], more=more[near])
-                at = to
-            last = h_place == place[-1]
-            held = [c[last] for c in homes_of]
-
-    schema = f"place long, role long, doc_id long, {PRINTS}"
-    dealt = _deal(prints, deal, schema)
-    searching = prints.where("search")
-    if searching.count() <= FEW:
-        dealt = dealt.join(F.broadcast(_deal(searching, deal, schema).select("place").distinct()), "place", "left_semi")
-        dealt = dealt.select("place", "role", "doc_id", *NAMES)
-    found = dealt.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(compare, "doc_id long, partner long, total long, more boolean")
-    found = found.groupBy("doc_id", "partner").agg(F.min("total").alias("total"), F.bool_or("more").alias("more"))
-    own = Window.partitionBy("doc_id")
-    found = found.withColumn("more", F.max("more").over(own) | (F.count("*").over(own) > most))
-    found = found.withColumn("rank", F.row_number().over(own.orderBy("total", "partner")))
-    return found.where(F.col("rank") <= most).select("doc_id", "partner", "more")
-
-
-def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and shingles: the hashes of the text's different shingles of ``words`` words, A-Z lowered."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from xxhash import xxh64_intdigest
-
-        def of(text: bytes):
-            w = text.lower().split()
-            parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else (b" ".join(w),) if w else ()
-            return np.unique(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), "u8")).view("i8")
-
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                found = [of(t.as_py()) for t in some.column(1).cast(pa.large_binary())]
-                ends = np.cumsum([0, *map(len, found)], dtype="i4")
-                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([some.column(0), sets], ["doc_id", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-#: Documents that tell which shingles are frequent, and in how many of them one that is frequent is seen.
-SAMPLE, FREQUENT = 10_000, 2
-
-
-def rare_shingles(docs: DataFrame, frequent: tuple, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, size and rare: the number of a text's different shingles, and so many of the rarest, rarest first, that a
-    text as similar must have one of them among its own. Their order is that of the ``frequent`` (sorted shingles, counts),
-    which needn't be exact: any order common to all texts will do."""
     told = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         known, times = told.value
-        for batch in batches:
-            sizes, rare = [], []
-            for shingles in batch.column(1):
-                x = shingles.values.to_numpy(zero_copy_only=False)
+        for ids, texts in _texts(batches):
+            docs_, sizes, least, rare, sketches = [], [], [], [], []
+            for doc, text in zip(ids.to_pylist(), texts):
+                x = _shingles(text)
+                if not len(x):
+                    continue
                 often = np.zeros(len(x), "i8")
-                if len(known) and len(x):
+                if len(known):
                     i = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     often = np.where(known[i] == x, times[i], 0)
+                docs_.append(doc)
                 sizes.append(len(x))
-                rare.append(x[np.lexsort((x, often))][: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1])
-            ends = pa.array(np.cumsum([0, *map(len, rare)], dtype="i4"))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare) if rare else np.zeros(0, "i8"), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["doc_id", "size", "rare"])
+                least.append(1 + _more(math.ceil(similarity * len(x) - 1e-6), similarity))
+                rare.append(x[np.lexsort((x, often))][: _apart(len(x), similarity) + 1 + _more(len(x), similarity)])
+                odd = np.bincount(x & 64 * SKETCH - 1, minlength=64 * SKETCH).astype("u1") & 1
+                sketches.append(np.packbits(odd).view("i8"))
+            columns = [pa.array(x, pa.int64()) for x in (docs_, sizes, least)] + [_lists(rare)]
+            columns += [pa.array(np.array([s[i] for s in sketches], "i8")) for i in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "least", "rare", *CELLS])
 
-    sets = shingle_sets(docs.where("doc_id IS NOT NULL")).where(F.size("shingles") > 0)
-    return sets.mapInArrow(run, "doc_id long, size long, rare array<long>")
+    return _named(docs).mapInArrow(lean(run), f"doc_id long, size long, least long, rare array<long>, {SKETCHED}")
 
 
-def sharing(docs: DataFrame, closed: DataFrame, similarity: float = SIMILARITY, homes: int = HOMES, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, partner: for documents that aren't among ``closed`` (stored) all of smaller doc_id that can be similar, by
-    the shingles of which similar texts must share one, and by how many can follow it. No similar pair is left out.
+def shared_places(docs: DataFrame, similarity: float = SIMILARITY, homes: int = HOMES, sample: int = SAMPLE) -> DataFrame:
+    """place, doc_id, size, b0.. b7: the rare shingles (places) that several texts have, with each text that has one.
+    Similar texts share one at least. Left out are shingles of a single text, and texts that share so few that none can be
+    similar to them.
 
-    Frequent shingles come last in the order and so hardly ever meet. One that is expected in more than ``homes`` documents
-    is split: documents are dealt to parts, and those that search go to each part.
+    Which shingles are frequent is told by about ``sample`` documents, at any size of the input. One that is expected in
+    more than ``homes`` texts is spread over tasks.
     """
-    spark = docs.sparkSession
-    total = docs.count()
-    some = docs.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))))
+    spark, total = docs.sparkSession, docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))))
     seen = shingle_sets(some).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT).toArrow()
     known, times = (seen.column(i).to_numpy() for i in (0, 1))
     order = known.argsort()
     known, times = known[order], times[order]
-    rare = stored(rare_shingles(docs, (known, times), similarity), "rare")
-    search = keep_ids(rare, closed, keep=False).withColumn("search", F.lit(1))
-    rows = search.unionByName(keep_ids(rare, closed).withColumn("search", F.lit(0)))
+    prints = stored(signatures(docs, (known, times), similarity), "signatures")
+    rows = prints.select("doc_id", F.explode("rare").alias("place"))
     parts = -(-times * max(1, total // sample) // homes)
-    split = parts > 1
-    rows = rows.select("doc_id", "size", "search", F.posexplode("rare").alias("pos", "place"))
-    info = lambda met: (F.col("size") * (1 << 32) + F.col("pos") * 4 + F.col("search") * 2 + met).alias("info")
-    if split.any():
-        of = spark.createDataFrame(pa.table({"place": known[split], "parts": parts[split]}))
-        rows = rows.join(F.broadcast(of), "place", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-        every = F.when(F.col("search") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("own"))
-        rows = rows.withColumn("part", F.explode(every))
-        place = F.when(F.col("parts") > 1, F.xxhash64("place", "part")).otherwise(F.col("place")).alias("place")
-        dealt = rows.select(place, "doc_id", info((F.col("part") == F.col("own")).cast("long")))
+    if (parts > 1).any():
+        hot = spark.createDataFrame(pa.table({"place": known[parts > 1], "parts": parts[parts > 1]}))  # of the sample's shingles
+        rows = rows.join(F.broadcast(hot), "place", "left")
+        part = F.xxhash64("place", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        dealt = rows.select(F.when(F.col("parts") > 1, part).otherwise(F.col("place")).alias("key"), "doc_id", F.when(F.col("parts") > 1, F.col("place")).alias("hot"))
     else:
-        dealt = rows.select("place", "doc_id", info(F.lit(1)))
+        dealt = rows.select(F.col("place").alias("key"), "doc_id", F.lit(None).cast("long").alias("hot"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by place and doc_id; those of the last place that can be met are held until the next begins."""
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; those go that have no neighbour of the same key. The last one waits for the next batch."""
         import numpy as np
 
-        held = tuple(np.zeros(0, "i8") for _ in range(3))
+        last = None
         for batch in batches:
             if not len(batch):
                 continue
-            place, doc, info = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            met, probe = info & 1 > 0, np.flatnonzero(info & 2)
-            first = len(held[0])
-            h_place, h_doc, h_info = (np.concatenate((h, c[met])) for h, c in zip(held, (place, doc, info)))
-            lo = np.searchsorted(h_place, place[probe], "left")
-            hi = np.maximum(first + (np.cumsum(met) - met)[probe], lo)  # the homes before the row
-            upto, at = np.concatenate(([0], np.cumsum(hi - lo))), 0
-            while at < len(probe):
-                to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
-                n = (hi - lo)[at:to]
-                i = np.repeat(np.arange(at, to), n)
-                j = np.arange(len(i)) - np.repeat(upto[at:to] - upto[at], n) + lo[i]
-                own, other = info[probe[i]], h_info[j]
-                size, size2 = own >> 32, other >> 32
-                most = np.minimum(size - ((own & 0xFFFFFFFF) >> 2), size2 - ((other & 0xFFFFFFFF) >> 2))
-                ok = (most * (1 + similarity) >= similarity * (size + size2) - 1e-6) & (doc[probe[i]] != h_doc[j])
-                if ok.any():
-                    yield _batch(doc_id=doc[probe[i[ok]]], partner=h_doc[j[ok]])
-                at = to
-            last = h_place == place[-1]
-            held = h_place[last], h_doc[last], h_info[last]
-
-    return dealt.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(compare, "doc_id long, partner long").distinct()
-
-
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The stored ``pairs`` (doc_id, partner) whose shingles are similar, exactly. A partner of many is dealt to parts."""
+            key, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            now = [key, pc.coalesce(batch.column(2), batch.column(0)).to_numpy(zero_copy_only=False), doc]
+            if last is not None:
+                now = [np.concatenate(x) for x in zip(last[0], now)]
+            same = now[0][1:] == now[0][:-1]
+            keep = np.concatenate(([last is not None and last[1]], same)) | np.concatenate((same, [False]))
+            last = [c[-1:] for c in now], bool(keep[-1])
+            yield _batch(place=now[1][:-1][keep[:-1]], doc_id=now[2][:-1][keep[:-1]])
+        if last is not None and last[1]:
+            yield _batch(place=last[0][1], doc_id=last[0][2])
+
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    shared = stored(dealt.mapInArrow(lean(several), "place long, doc_id long"), "places")
+    counts = shared.groupBy("doc_id").agg(F.count("*").alias("n"))
+    able = stored(prints.drop("rare").join(counts, "doc_id").where("n >= least").drop("n", "least"), "able")
+    return shared.join(F.broadcast(able) if able.count() <= FEW else able, "doc_id").select("place", "doc_id", "size", *CELLS)
+
+
+def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the column comp replaced by the component that ``links`` (a, b) make of it; stored."""
+    joined = stored(components(links).select(F.col("node").alias("comp"), "component"), "joined")
+    joined = F.broadcast(joined) if joined.count() <= MOST_IDS else joined
+    columns = [F.coalesce("component", "comp").alias("comp") if c == "comp" else c for c in rows.columns]
+    return stored(rows.join(joined, "comp", "left").select(*columns), "labelled")
+
+
+def first_met(rows: DataFrame, seed: int, similarity: float) -> DataFrame:
+    """doc_id, comp, partner, other: for each text one of another component (other), with the same place, that its sketch
+    allows to be similar: of the places' chosen texts that which it meets most often. Not more rows than texts."""
+    chosen = F.min(F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", "comp", "size", *CELLS))
+    chosen = stored(rows.groupBy("place").agg(chosen.alias("c"), F.count("*").alias("n")).where("n > 1"), "chosen")
+    met = lookup(rows, chosen, "place", "n", chosen.agg(F.sum("n")).first()[0] or 0).where("comp != c.comp")
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"c.{b}"))) for b in CELLS), F.lit(0))
+    met = met.where(differ * (1 + similarity) <= (1 - similarity) * (F.col("size") + F.col("c.size")) + 1e-6)
+    met = met.groupBy("doc_id", "comp", F.col("c.doc_id").alias("partner"), F.col("c.comp").alias("other")).agg(F.count("*").alias("times"))
+    best = met.groupBy("doc_id", "comp").agg(F.max(F.struct("times", "partner", "other")).alias("best"))
+    return best.select("doc_id", "comp", "best.partner", "best.other")
+
+
+def all_met(rows: DataFrame, similarity: float, homes: int = HOMES) -> DataFrame:
+    """doc_id, comp, partner, other: all pairs of texts of different components that share a place and, by their sizes and
+    sketches, can be similar.
+
+    Places of one component are left out. At a place all texts are homes, and those that aren't of its largest component
+    are compared with them, so that a large component is never compared with itself. Homes of a place with more than
+    ``homes`` are dealt to parts, and what is compared goes to every part.
+    """
+    per = rows.groupBy("place", "comp").agg(F.count("*").alias("n")).groupBy("place")
+    per = per.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("comps"))
+    per = stored(per.where("comps > 1").select("place", F.col("top.comp").alias("top"), "n"), "mixed")
+    found = lookup(rows, per, "place", "n", per.agg(F.sum("n")).first()[0] or 0)
+    parts = F.ceil(F.col("n") / homes).cast("long")
+    own = F.pmod(F.xxhash64("doc_id"), parts)
+    most = (F.col("comp") == F.col("top")).cast("long")
+    roles = F.array(F.struct(own.alias("part"), F.lit(0).cast("long").alias("role")))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(p.alias("part"), F.lit(1).cast("long").alias("role")))
+    found = found.withColumn("most", most).withColumn("r", F.explode(F.when(F.col("most") == 1, roles).otherwise(F.concat(roles, every))))
+    dealt = found.select(F.xxhash64("place", "r.part").alias("key"), "r.role", "doc_id", "comp", "most", "size", *CELLS)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for i, j, probes, held in _met(batches, BLOCK >> 2):
+            (doc, comp, _, size, *cells), (doc2, comp2, most2, size2, *cells2) = probes, held
+            ok = (comp[i] != comp2[j]) & ((most2[j] == 1) | (comp2[j] < comp[i]))
+            both = size[i] + size2[j]
+            ok &= np.minimum(size[i], size2[j]) * (1 + similarity) >= similarity * both - 1e-6
+            i, j, both = i[ok], j[ok], both[ok]
+            differ = sum(np.bitwise_count((a[i] ^ b[j]).view("u8")).astype("i8") for a, b in zip(cells, cells2))
+            ok = differ * (1 + similarity) <= (1 - similarity) * both + 1e-6
+            i, j = i[ok], j[ok]
+            if len(i):
+                yield _batch(doc_id=doc[i], comp=comp[i], partner=doc2[j], other=comp2[j])
+
+    return dealt.repartition("key").sortWithinPartitions("key", "role").mapInArrow(lean(compare), "doc_id long, comp long, partner long, other long").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): comp and other of the stored ``pairs`` whose texts are similar, by all their shingles. A partner of many is
+    dealt to parts."""
     named = stored(pairs.select("doc_id").union(pairs.select("partner")).distinct(), "named")
     sets = stored(shingle_sets(keep_ids(docs, named)).dropDuplicates(["doc_id"]), "shingles")
     counts = stored(pairs.groupBy("partner").agg(F.count("*").alias("n")), "counts")
     parts = F.ceil(F.col("n") / 256).cast("long")
     total = counts.agg(F.sum("n")).first()[0] or 0
     told = lookup(pairs, counts, "partner", "n", total).withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).drop("n")
-    other = sets.select(F.col("doc_id").alias("partner"), F.col("shingles").alias("other")).join(counts, "partner")
+    other = sets.select(F.col("doc_id").alias("partner"), F.col("shingles").alias("theirs")).join(counts, "partner")
     other = other.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
     both = told.join(sets, "doc_id").join(other, ["partner", "part"])
-    shared = F.size(F.array_intersect("shingles", "other"))
-    return both.where(shared >= similarity * (F.size("shingles") + F.size("other") - shared)).select("doc_id", "partner")
+    shared = F.size(F.array_intersect("shingles", "theirs"))
+    return both.where(shared >= similarity * (F.size("shingles") + F.size("theirs") - shared) - 1e-6).select(F.col("comp").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def similar(docs: DataFrame, similarity: float = SIMILARITY, homes: int = HOMES, first: int = FIRST) -> DataFrame:
-    """doc_id, partner: documents whose partner's shingles of five words are similar to theirs (shared to all) by at least
-    ``similarity``, checked exactly. The partner's doc_id is smaller, so that of documents that such links join the
-    smallest is never listed. Rows without doc_id or words are left out; of a doc_id's rows any may stand for it.
+def similar(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, homes: int = HOMES, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+    """(node, component): which ``groups`` similar texts join. ``groups`` (stored) has doc_id and component_id, the smallest
+    doc_id of its group, for each row; texts are similar if of the shingles of five words that either has they share
+    ``similarity`` or more. A group that joins others and isn't the smallest is a node. Rows without doc_id or words join
+    nothing; a doc_id stands for one text.
 
-    Every document of smaller doc_id within BITS bits of one fingerprint and SET_BITS of all is tried until one is similar:
-    that of all equal fingerprints, those of crowded places, then the nearest, and NEXT times as many in each round, till
-    no document without a similar one has any left. Those still without are at last compared with every document that can
-    be similar at all (``sharing``), however far the fingerprints are apart. So none is passed over, and a large class
-    never makes its pairs.
+    No two groups with similar texts stay apart. Similar texts share one of the rare shingles, so all that can be similar
+    meet there. First each text tries one that it meets, in each of ``rounds``, which joins most of a large group with
+    work in proportion to its size; then what belongs to different groups still is compared wholly. What sizes and
+    sketches allow is checked by all shingles.
     """
-    key = F.xxhash64(*NAMES).alias("key")
-    prints = stored(set_prints(docs).select("*", key, F.lit(True).alias("search")), "sets")
-    equal = stored(prints.groupBy("key").agg(F.min("doc_id").alias("partner"), F.count("*").alias("n")), "equal")
-    pairs = lookup(prints.select("doc_id", "key"), equal, "key", "n", equal.agg(F.sum("n")).first()[0] or 0).where("doc_id != partner")
-    found = [stored(verified(docs, stored(pairs.select("doc_id", "partner").distinct(), "pairs"), similarity), "similar")]
-
-    def still(rows: DataFrame) -> DataFrame:
-        """``prints`` that search only where they are among ``rows`` and nothing similar is found yet."""
-        ids = rows.select("doc_id").distinct()
-        for f in found:
-            ids = ids.join(f.select("doc_id"), "doc_id", "left_anti")
-        ids = ids.withColumn("_open", F.lit(True))
-        return stored(prints.drop("search").join(ids, "doc_id", "left").withColumn("search", F.coalesce("_open", F.lit(False))).drop("_open"), "sets")
-
-    now = still(prints)
-    if crowded := crowds(now, homes):
-        pairs = stored(leaders(now.where("search"), crowded), "pairs")
-        found.append(stored(verified(docs, pairs, similarity), "similar"))
-        now = still(now.where("search"))
-    most = first
-    while True:
-        pairs = stored(candidates(now, crowded, most, homes), "pairs")
-        found.append(stored(verified(docs, pairs.select("doc_id", "partner"), similarity), "similar"))
-        now, most = still(pairs.where("more")), most * NEXT
-        if now.where("search").isEmpty():
-            break
-    closed = found[0].select("doc_id")
-    for f in found[1:]:
-        closed = closed.union(f.select("doc_id"))
-    pairs = stored(sharing(docs, stored(closed.distinct(), "closed"), similarity, homes), "pairs")
-    found.append(stored(verified(docs, pairs, similarity), "similar"))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return every.groupBy("doc_id").agg(F.min("partner").alias("partner"))
+    rows = stored(shared_places(docs, similarity, homes, sample).join(groups.select("doc_id", F.col("component_id").alias("comp")).distinct(), "doc_id"), "labelled")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    for k in range(rounds + 1):
+        pairs = stored(first_met(rows, k, similarity) if k < rounds else all_met(rows, similarity, homes), "pairs")
+        new = stored(verified(docs, pairs, similarity), "similar")
+        links = links.union(new)
+        if k < rounds and not new.isEmpty():
+            rows = _relabel(rows, new)
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, homes: int = HOMES) -> DataFrame:

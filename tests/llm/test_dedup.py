@@ -47,6 +47,32 @@ def test_index_persists_over_batches(spark):
     spark.sql("DROP TABLE persistent_index_test")
 
 
+def test_index_is_compacted_and_rerun(spark):
+    """A batch run again after its digests were appended gets the same answer; a compact index lies sorted, one file a bucket."""
+    name = "compact_index_test"
+    rows = [(i, f"text {i % 40} of a batch", None, None, 0) for i in range(100)]
+    a, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(500 + i, f"text {i} of a batch", None, None, 0) for i in range(60)], SCHEMA)
+    try:
+        index = dedup.DigestIndex(spark, name, buckets=3)
+        first = sorted(tuple(r)[:5] for r in index.deduplicate(a, batch=1).collect())
+        again = sorted(tuple(r)[:5] for r in dedup.DigestIndex(spark, name).deduplicate(a, batch=1).collect())
+        assert first == again and sum(r[3] for r in first) == 40
+        assert sum(r.kept for r in index.deduplicate(b, batch=2).collect()) == 20 and index.read().count() == 60
+        index.compact(buckets=4)
+        index = dedup.DigestIndex(spark, name)
+        assert index.buckets == 4 and len(index.read().inputFiles()) <= 4 and index.read().count() == 60
+        some = spark.createDataFrame([(bytearray(b"x"),)], "digest binary")
+        plan = some.join(index.read().hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index(name) - 400 :] if name in plan else plan
+        assert plan.count("Sort [") == 1 and "SortMergeJoin" in plan, side
+        assert not [r for r in index.deduplicate(b, batch=3).collect() if r.kept]
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}_compact")  # as a compaction leaves it that was cut off
+        assert dedup.DigestIndex(spark, name).read().count() == 60
+    finally:
+        for t in (name, f"{name}_compact"):
+            spark.sql(f"DROP TABLE IF EXISTS {t} PURGE")
+
+
 def fingerprint(text, n=3):
     words = (text or "").encode().lower().split()
     if not words:
@@ -122,73 +148,84 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("homes", [4096, 8])
-def test_similar_passes_no_candidate_over(spark, homes):
-    """A document is listed just if one of smaller doc_id whose fingerprints allow it is similar; crowded places included."""
-    random.seed(3)
-    vocabulary = [f"w{i}" for i in range(400)]
-    rows = []
-    for _ in range(6):
-        base = random.choices(vocabulary, k=120)
-        for c in range(25):
-            words = list(base)
-            for _ in range(random.randint(0, 4)):
-                words[random.randrange(len(words))] = random.choice(vocabulary)
-            if c % 5 == 4:  # the same words in another order: candidates that aren't similar
-                random.shuffle(words)
-            rows.append((len(rows), " ".join(words), None, None, 0))
-    rows.append((0, rows[0][1], None, None, 0))
-    rows += [(None, rows[0][1], None, None, 0), (900, None, None, None, 0), (901, " ", None, None, 0)]
-    df = spark.createDataFrame(random.sample(rows, len(rows)), SCHEMA)
-    prints = {r.doc_id: r[1:] for r in simhash.set_prints(df).collect()}
-    sets = {i: shingles(t) for i, t, *_ in rows if i in prints}
-
-    def alike(i, j):
-        return len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+def trees(n, links):
+    """The smallest node of each node's tree."""
+    parent = {i: i for i in n}
 
-    def met(i, j):
-        bits = [((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[i], prints[j])]
-        return min(bits) <= simhash.BITS and sum(bits) <= simhash.SET_BITS
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
-    must = {i for i in prints if any(j < i and met(i, j) and alike(i, j) for j in prints)}
-    got = {r.doc_id: r.partner for r in simhash.similar(df, homes=homes).collect()}
-    assert must <= set(got) and all(p < i and alike(i, p) for i, p in got.items())
-    assert len(must) > 50
-    assert simhash.similar(empty(spark)).count() == 0
+    for i, j in links:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in n}
 
 
-@pytest.mark.parametrize("homes", [4096, 8])
-def test_similar_finds_all_that_are_similar(spark, homes):
-    """However far the word-set fingerprints are apart: words replaced evenly, just 0.8 of the shingles shared."""
+@pytest.mark.parametrize("homes, rounds", [(4096, 2), (8, 2), (8, 0), (4096, 0)])
+def test_similar_joins_all_that_are_similar(spark, homes, rounds):
+    """Large families, texts of 0.8 and just below, the same words in another order, few and many words; whatever the
+    rounds, and where places are split, the groups are those of brute force."""
     random.seed(8)
     vocabulary = [f"w{i}" for i in range(3000)]
-    rows = []
-    for n in (60, 104, 400, 1600):
-        for _ in range(8):
+    texts = []
+    for n in (12, 60, 104, 400, 1600):
+        for family in range(4):
             base = random.choices(vocabulary, k=n)
-            rows.append((len(rows), " ".join(base), None, None, 0))
-            for _ in range(2):
+            texts.append(base)
+            for c in range(12 if family == 0 else 3):
                 words = list(base)
-                for i in range(max(1, n // 55)):
-                    words[i * 55 + random.randrange(20)] = random.choice(vocabulary)
-                rows.append((len(rows), " ".join(words), None, None, 0))
-    rows.append((900, "one two", None, None, 0))
+                for i in range(max(1, n // 55) + (c > 5)):
+                    words[min(n - 1, i * 55 + random.randrange(20))] = random.choice(vocabulary)
+                texts.append(random.sample(words, n) if c == 2 and n > 60 else words)
+    texts += [["one", "two"], ["ONE", "two"], [], ["x"]]
+    rows = [(i, " ".join(t), None, None, 0) for i, t in enumerate(texts)] + [(None, " ".join(texts[0]), None, None, 0), (len(texts), None, None, None, 0)]
     df = spark.createDataFrame(random.sample(rows, len(rows)), SCHEMA)
-    sets = {i: shingles(t) for i, t, *_ in rows}
-    prints = {r.doc_id: r[1:] for r in simhash.set_prints(df).collect()}
-    must = {i: [j for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
-    near = {i for i in must for j in must[i] if min(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[i], prints[j])) <= simhash.BITS}
-    got = {r.doc_id: r.partner for r in simhash.similar(df, homes=homes).collect()}
-    assert set(got) == {i for i in must if must[i]} and all(p in must[i] for i, p in got.items())
-    assert len(set(got) - near) >= 5
+    sets = [shingles(" ".join(t)) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = trees(range(len(texts) + 1), links)
+    groups = df.where("doc_id IS NOT NULL").selectExpr("doc_id", "doc_id AS component_id")
+    got = {r.node: r.component for r in simhash.similar(df, groups, homes=homes, rounds=rounds).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(got) > 50
+    assert simhash.similar(empty(spark), empty(spark).selectExpr("doc_id", "doc_id AS component_id")).count() == 0
+
+
+def test_similar_joins_groups(spark):
+    """Groups that are given count as joined, and only what joins others is told."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, base, None, None, 0), (5, base.replace("w50", "x"), None, None, 0), (7, "one two three four five six", None, None, 0), (9, "other words", None, None, 0)]
+    groups = spark.createDataFrame([(3, 3), (5, 5), (7, 5), (9, 9)], "doc_id long, component_id long")
+    assert [tuple(r) for r in simhash.similar(spark.createDataFrame(rows, SCHEMA), groups).collect()] == [(5, 3)]
+
+
+def test_a_large_family_makes_few_pairs(spark):
+    """What the rounds emit is at most one row a text, and what is left to compare afterwards is little."""
+    random.seed(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in random.sample(range(150), 2):
+            words[at] = f"v{random.randrange(10_000)}"
+        rows.append((i, " ".join(words), None, None, 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    labelled = simhash.shared_places(df).withColumn("comp", simhash.F.col("doc_id"))
+    met = simhash.first_met(labelled, 0, 0.8)
+    assert met.count() <= 400 and met.groupBy("doc_id").count().where("count > 1").isEmpty()
+    got = simhash.similar(df, df.selectExpr("doc_id", "doc_id AS component_id")).collect()
+    sets = [shingles(r[1]) for r in rows]
+    links = [(i, j) for i in range(400) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert {i: {r.node: r.component for r in got}.get(i, i) for i in range(400)} == trees(range(400), links)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(12)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 180), (60, None)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == {i: 0 for i in range(1, 13)} | {101: 100, 200: 150, 180: 150}
     hub = spark.createDataFrame([(0, i) for i in range(1, 200)], "a long, b long")
-    assert components.components(hub).count() == 199
+    assert components.components(hub, few).count() == 199 and components.components(hub.limit(0), few).count() == 0
 
 
 def test_lookup_splits_hot_keys(spark):
