@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_ids, lookup, stored, text_of
+from .shared import keep_ids, let, lookup, stored, text_of
 
 #: Kinds in order, with the patterns that find them. Each finds what the plain pattern in its comment does: a start
 #: within a run of the first class fails if the run's start failed, so only run starts and the end of the match before
@@ -33,12 +31,7 @@ LETTERS = r"\p{L}{3,}"
 #: entity, and if it raises the entity's probability by so many bits.
 MIN_TEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
 
-_BLOCK = 64
-
-
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+_BLOCK, _CELL = 64, 256
 
 
 def _sum(values: Column) -> Column:
@@ -50,7 +43,7 @@ def _upto(steps: Column) -> Column:
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / _BLOCK).cast("int")), lambda b: _sum(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))))
     before = F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + x)))
     block = lambda i: F.floor(i / _BLOCK).cast("int")
-    return _let(before, lambda p: F.transform(steps, lambda _, i: F.get(p, block(i)) + _sum(F.slice(steps, block(i) * _BLOCK + 1, i % _BLOCK + 1))))
+    return let(before, lambda p: F.transform(steps, lambda _, i: F.get(p, block(i)) + _sum(F.slice(steps, block(i) * _BLOCK + 1, i % _BLOCK + 1))))
 
 
 def _digits(x: Column) -> Column:
@@ -66,10 +59,10 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, hit: Column) -> Column:
     if kind == "ip":
-        small = lambda p: _let(F.regexp_replace(p, "^0+(?=.)", ""), lambda d: F.when(F.length(d) <= 3, d.cast("int") <= 255).otherwise(F.lit(False)))
+        small = lambda p: let(F.regexp_replace(p, "^0+(?=.)", ""), lambda d: F.when(F.length(d) <= 3, d.cast("int") <= 255).otherwise(F.lit(False)))
         return F.forall(F.split(hit, r"\."), small)
     if kind == "card":
-        return _let(_digits(hit), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(F.lit(False)))
+        return let(_digits(hit), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(F.lit(False)))
     if kind == "phone":
         return F.length(_digits(hit)).between(9, 15)
     return F.lit(True)
@@ -89,13 +82,13 @@ def _matches(text: Column, kind: str, none: str) -> Column:
                     F.get(starts, i).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (F.get(starts, i) + F.length(h)).alias("end"), F.lower(h).alias("value"),
                 ),
             )
-            return _let(steps, lambda s: _let(_upto(s), made))
+            return let(steps, lambda s: let(_upto(s), made))
 
-        found = _let(F.split(text, pattern, -1), placed)
+        found = let(F.split(text, pattern, -1), placed)
         return F.when(F.size(hits) > 0, F.filter(found, lambda m: _valid(kind, m["value"])))
 
     needed = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(NEEDS[kind])
-    return F.coalesce(F.when(needed, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)), F.from_json(F.lit("[]"), none))
+    return F.coalesce(F.when(needed, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)), F.from_json(F.lit("[]"), none))
 
 
 _MATCH = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -123,11 +116,11 @@ def _places(text: Column) -> Column:
             one = lambda starts: F.transform(
                 words, lambda w, i: F.struct(F.xxhash64(F.lower(w)).alias("term"), F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(w)).alias("end"))
             )
-            return _let(steps, lambda x: _let(_upto(x), one))
+            return let(steps, lambda x: let(_upto(x), one))
 
-        return _let(F.split(text, LETTERS, -1), at)
+        return let(F.split(text, LETTERS, -1), at)
 
-    return _let(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), placed)
+    return let(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), placed)
 
 
 def disclosures(found: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
@@ -167,19 +160,29 @@ def sanitisation(docs: DataFrame, **thresholds) -> DataFrame:
 
     base has the emails, IP addresses, card and phone numbers of the whole text. spans adds, as kind len(KINDS), the
     terms that reveal an entity by the corpus's co-occurrence counts, wherever they are, in texts without the entity too;
-    a term that overlaps base stays with it.
+    a term within an email stays with it, and no other kind has letters.
     Null text counts as empty; repeated rows get the same spans; null doc_ids are kept; other columns are ignored; an
     empty table gives no rows.
     """
     found = stored(entities(docs), "entities")
     told = stored(disclosures(found, **thresholds).select("term").distinct(), "told")
     places = found.select("row", F.explode(_places(F.col("text"))).alias("t")).select("row", "t.*")
-    spans = keep_ids(places, told, "term").select("row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("s"))
+    spans = stored(keep_ids(places, told, "term").select("row", "start", "end"), "spans")
+    emails = found.select("row", F.explode(F.filter("found", lambda m: m["kind"] == KINDS.index("email"))).alias("m")).select("row", "m.start", "m.end")
+    spans = _clear(spans, emails).select("row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("s"))
     spans = spans.groupBy("row").agg(F.collect_list("s").alias("more"))
     base = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     df = found.select("row", "doc_id", base.alias("base")).join(spans, "row", "left")
-    clear = F.filter("more", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return df.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", clear))).alias("spans"))
+    return df.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more"))).alias("spans"))
+
+
+def _clear(spans: DataFrame, taken: DataFrame) -> DataFrame:
+    """The ``spans`` (row, start, end; stored) that overlap none of ``taken``. They meet by cells of _CELL characters, so that
+    the work goes by the text's length, however many it has of both."""
+    cell = F.explode(F.sequence(F.floor(F.col("start") / _CELL), F.floor((F.col("end") - 1) / _CELL))).alias("cell")
+    there = taken.select("row", F.col("start").alias("from"), F.col("end").alias("upto"), cell)
+    hit = spans.select("row", "start", "end", cell).join(there, ["row", "cell"]).where("start < upto AND from < end")
+    return spans.join(hit.select("row", "start").distinct(), ["row", "start"], "left_anti").select("row", "start", "end")
 
 
 def written(spans: Column) -> Column:
@@ -195,4 +198,4 @@ def generalised(text: Column, spans: Column) -> Column:
     apart = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), name(s))).alias("out"))
     within = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
     done = F.aggregate(spans, start, lambda a, s: F.when(s["start"] >= a["at"], apart(a, s)).otherwise(within(a, s)))
-    return _let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))
+    return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))

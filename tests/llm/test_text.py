@@ -363,3 +363,18 @@ def test_disclosures_equal_brute_force(spark):
                 want[hashed[w], codes[e]] = (share, bits)
     assert set(got) == set(want) and len(want) >= 3
     assert all(abs(got[k][0] - want[k][0]) < 1e-12 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_terms_within_emails_stay_with_them(spark):
+    """Spans that overlap taken ones are told by cells: against brute force, with long ones and cells' borders."""
+    random.seed(2)
+    spans = [(r, s, s + random.randint(1, 30)) for r in range(4) for s in random.sample(range(3000), 60)]
+    taken = [(r, s, s + random.choice([3, 20, 700])) for r in range(3) for s in range(random.randint(0, 50), 3000, 900)]
+    schema = "row long, start int, end int"
+    got = pii._clear(spark.createDataFrame(spans, schema), spark.createDataFrame(taken, schema)).collect()
+    assert sorted(map(tuple, got)) == sorted(x for x in spans if not any(r == x[0] and s < x[2] and x[1] < e for r, s, e in taken))
+    texts = [f"Zorblax writes from zorblax@corp.example about thing {i}" for i in range(4)] + ["nothing here at all"] * 200
+    df = spark.createDataFrame([(i, f"{t} {i}", None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    r = pii.sanitisation(df).where("doc_id = 1").first()
+    terms = [(x.start, x.end) for x in r.spans if x.kind == len(pii.KINDS)]
+    assert (0, 7) in terms and not any(20 <= s < 40 for s, _ in terms)
