@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch, stored
+
+__all__ = ["HEAVY", "MOST_IDS", "SPACE", "WORD", "keep_ids", "lean", "let", "lookup", "scratch", "stored", "text_of", "trim"]
+
 #: At most HEAVY keys can each hold more than 1/HEAVY of all rows, so a table of them is safe to broadcast.
 HEAVY = 10_000
 #: Most ids that are broadcast to filter rows; more go through a shuffle join.
@@ -18,32 +20,6 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/hyperloom-shared"
-
-
-def scratch(spark: SparkSession, kind: str = "frame") -> str:
-    """A new path in the shared folder; it is deleted when the application ends."""
-    path = f"{shared_root(spark)}/hyperloom/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def stored(df: DataFrame, kind: str = "frame") -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and survives the loss of executors."""
-    path = scratch(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def trim() -> None:
     """Gives memory that Arrow and the C library hold unused back to the machine, where the C library can."""
     import ctypes

@@ -19,7 +19,3 @@ def awkward(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
-
-
-def clash(df):
-    return df
