@@ -53,7 +53,7 @@ def as_vectors(x) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the vectors of equal rows of a partition that is sorted by row; a row may run on into the next batch."""
     import numpy as np
 
@@ -77,10 +77,25 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sum_rows(df: DataFrame) -> DataFrame:
-    """The sum of the vectors of each row: once within the tasks at hand, then after a shuffle, which a hub row so crosses
-    with one vector a task."""
-    partial = df.select("row", "vec").sortWithinPartitions("row").mapInArrow(_summed, ROWS)
-    return partial.repartition("row").sortWithinPartitions("row").mapInArrow(_summed, ROWS)
+    """The sum of the vectors of each row, each times its val where there is one: once within the tasks at hand, then after
+    a shuffle, which a hub row so crosses with one vector a task."""
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = as_array(batch) * batch.column("val").to_numpy(zero_copy_only=False)[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), as_vectors(x)], ["row", "vec"])
+
+    if "val" in df.columns:
+        partial = df.select("row", "vec", "val").sortWithinPartitions("row").mapInArrow(lambda batches: summed(scaled(batches)), ROWS)
+    else:
+        partial = df.select("row", "vec").sortWithinPartitions("row").mapInArrow(summed, ROWS)
+    return sum_partial(partial)
+
+
+def sum_partial(partial: DataFrame) -> DataFrame:
+    """The sum of the vectors of each row of sums by task."""
+    return partial.repartition("row").sortWithinPartitions("row").mapInArrow(summed, ROWS)
 
 
 def local(b: Dense, most: int = MOST_CELLS):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import Coo, Dense, same
-from .dense import dense_of, sum_rows
+from .dense import MOST_CELLS, ROWS, as_vectors, dense_of, local, sum_partial, sum_rows, summed
+
+#: Cells of a sparse matrix that are multiplied at once in a worker.
+ROWS_AT_ONCE = 4096
 
 
 def dedupe(m: Coo, how: Callable[[Column], Column] = F.max) -> Coo:
@@ -31,14 +35,28 @@ def spgemm(a: Coo, b: Coo, mul: Callable[[Column, Column], Column] = lambda x, y
     return Coo(left.join(right, "k").groupBy("row", "col").agg(add(mul(F.col("x"), F.col("y"))).alias("val")), a.n_rows, b.n_cols)
 
 
-def spmm(a: Coo, x: Dense) -> Dense:
+def spmm(a: Coo, x: Dense, most: int = MOST_CELLS) -> Dense:
     """Sparse A times dense X: rows of X meet A's cells, scaled rows are summed, first within tasks. Rows of A without
-    cells have no row in the result."""
+    cells have no row in the result. X goes to all executors if it has at most ``most`` cells, so that only A's cells and
+    one sum a row and task move; else its rows are joined."""
     if a.n_cols is not None and x.n_rows is not None:
         same("inner extents", a.n_cols, x.n_rows)
-    met = a.df.join(x.df.select(F.col("row").alias("col"), "vec"), "col")
-    scaled = met.select("row", F.transform("vec", lambda v: v * F.col("val")).alias("vec"))
-    return Dense(sum_rows(scaled), a.n_rows, x.n_cols)
+    small = local(x, most)
+    if small is None:
+        met = a.df.join(x.df.select(F.col("row").alias("col"), "vec"), "col")
+        return Dense(sum_rows(met.select("row", "vec", "val")), a.n_rows, x.n_cols)
+    told = a.df.sparkSession.sparkContext.broadcast(small)
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                row, col, val = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, ROWS_AT_ONCE).columns)
+                there = col < len(told.value)
+                yield pa.RecordBatch.from_arrays([pa.array(row[there]), as_vectors(told.value[col[there]] * val[there, None])], ["row", "vec"])
+
+    cells = a.df.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val"))
+    partial = cells.sortWithinPartitions("row").mapInArrow(lambda batches: summed(scaled(batches)), ROWS)
+    return Dense(sum_partial(partial), a.n_rows, x.n_cols)
 
 
 def dense_spmm(x: Dense, a: Coo) -> Dense:
