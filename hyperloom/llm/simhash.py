@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -127,6 +128,12 @@ class GolayAnchors:
             yield np.broadcast_to(at[:, None, None], ok.shape)[ok], anchor[ok]
 
 
+@functools.cache
+def anchors_of() -> GolayAnchors:
+    """The worker's anchors; they last as long as it."""
+    return GolayAnchors()
+
+
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
@@ -169,7 +176,7 @@ def links(classes: DataFrame, homes: int = HOMES) -> DataFrame:
     spark = classes.sparkSession
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = GolayAnchors()
+        anchors = anchors_of()
         for batch in batches:
             home = anchors.home(batch.column(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(home)], ["anchor"])
@@ -182,7 +189,7 @@ def links(classes: DataFrame, homes: int = HOMES) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        anchors, (split, times) = GolayAnchors(), told.value
+        anchors, (split, times) = anchors_of(), told.value
 
         def n_parts(anchor):
             if not len(split):
