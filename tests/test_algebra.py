@@ -64,6 +64,7 @@ def test_row_runs_over_batches(spark):
 
 
 def test_diagonal_scaling_of_the_golden_matrix(spark):
+    # A small golden matrix, its weights and its product
     cells = [(0, 0, 4.0), (0, 2, 2.0), (2, 1, 5.0), (3, 0, 3.4), (3, 3, 1.7), (3, 4, 2.0)]
     m = Coo(spark.createDataFrame(cells, "row long, col long, val double"), 4, 9)
     w = spark.createDataFrame(list(enumerate([4.0, 1.0, 3.0, 2.0, 5.0, 1.0, 4.0, 1.0, 0.0])), "idx long, val double")
