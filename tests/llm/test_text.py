@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -6,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from hyperloom.llm import classifier, html, language, pii, rules
+from hyperloom.llm import classifier, html, language, pii, queries, rules
 from hyperloom.llm.html_tree import kept_blocks, read
 from pyspark.sql import functions as F
 
@@ -154,6 +155,17 @@ def test_personal_data(spark):
     assert pii.sanitisation(empty(spark)).count() == 0
 
 
+def test_personal_data_query_counts_and_hash(spark, tmp_path):
+    texts = [None, "", "a@b.cc", "10.0.0.1 a@b.cc x@y.zz", "+1 (555) 123-4567 4242 4242 4242 4242", "4242 4242 4242 4242 1.2.3.4 1.2.3.256 +1 (555) 123-4567 +2 (555) 123-4567 a@b.cc", "😀 a@b.cc " * 3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_pii(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, text in enumerate(texts):
+        spans, r = plain_spans(text), got[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in spans) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
 def test_terms_that_reveal(spark):
     names = ["ann", "bea", "cat", "dan", "eva", "fay"]
     rows = [(i, f"{names[i]} wrote: Zorblax uses agent7@corp.example often in {names[-1 - i]} town") for i in range(6)]
