@@ -1,11 +1,13 @@
 """Products, maps and reductions against dense arrays."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from hyperloom.functions import vectors as V
 from hyperloom.operators import dense as D
 from hyperloom.operators import sparse as S
+from hyperloom.plans import queries
 from hyperloom.types import Coo, Dense
 from pyspark.sql import functions as F
 
@@ -138,3 +140,42 @@ def test_shapes_must_agree(spark):
 
 def test_block_offsets():
     assert [S.block_offset(b, 10, 3) for b in range(3)] == [0, 3, 6]
+
+
+def far_apart(spark, folder):
+    """Embeddings of rows that are few and far apart, in a folder; and their numbers and vectors."""
+    x = np.random.default_rng(4).normal(size=(45, 64)).astype("f4").astype("f8")
+    rows = np.concatenate((np.arange(40) * 10**11, 70_000 + np.arange(5)))
+    spark.createDataFrame([(int(i), [float(v) for v in u], 0) for i, u in zip(rows, x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return rows, x
+
+
+def check_pairs(df, rows, want):
+    got = {(a, b): v for a, b, v in df.collect()}
+    assert len(got) == df.count() == len(rows) ** 2
+    np.testing.assert_allclose([[got[a, b] for b in rows.tolist()] for a in rows.tolist()], want, atol=6e-7)
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_product_with_a_transpose_goes_by_rows_that_exist(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(D, "PAIR_ROWS", block, raising=False)
+    rows, x = far_apart(spark, tmp_path)
+    df = queries.queries()["dense_mult_bt"](spark, str(tmp_path))
+    check_pairs(df, rows, x @ x.T)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # pairs of blocks are read, not copied and shuffled
+
+
+def test_product_with_a_transpose_adds_up_equal_rows(spark):
+    a, b = np.arange(12.0).reshape(6, 2), np.arange(6.0).reshape(3, 2)
+    twice = Dense(dense(spark, b).df.unionByName(dense(spark, b).df))
+    for most in (1, 1000):
+        np.testing.assert_allclose(array(D.matmul_bt(dense(spark, a), twice, most), 6, 3), 2 * a @ b.T)
+    assert D.bt_cells(dense(spark, a), twice).df.count() == 36 and D.bt_cells(Dense(spark.createDataFrame([], D.ROWS)), twice).df.count() == 0
+
+
+def test_rounding_of_pairs(spark):
+    values = [0.5e-6, -0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, -1e-9, 0.1234565, 0.1234564999, 123456.7890125, 5e8 + 2**-21, -7e11 - 0.3, 3e15, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.v for r in df.select(queries._rounded("v")).collect()]
+    assert str(got) == str(duckdb.sql(f"SELECT round(v::DOUBLE, 6) + 0.0 FROM (SELECT unnest({[str(v) for v in values]}) AS v)").fetchall()).replace("(", "").replace(",)", "")
