@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
 
+from hyperloom.operators import dense as D
 from hyperloom.operators import hypergraph as H
+from hyperloom.plans import queries
 from hyperloom.types import Coo
 
-from .test_algebra import array, dense
+from .test_algebra import array, check_pairs, dense, far_apart
 
 
 def brute(x, k):
@@ -28,6 +30,16 @@ def test_neighbours_and_incidence(spark, cells):
     np.testing.assert_allclose(got, d, atol=1e-7)
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_distances_go_by_rows_that_exist(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(D, "PAIR_ROWS", block, raising=False)
+    rows, x = far_apart(spark, tmp_path)
+    df = queries.queries()["pairwise_distance"](spark, str(tmp_path))
+    check_pairs(df, rows, brute(x, 1)[0])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # pairs of blocks are read, not copied and shuffled
+
+
 def test_each_hyperedge_has_k_members_with_its_center(spark):
     x = np.vstack((np.zeros((4, 3)), np.ones((3, 3))))
     members = {}
