@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.llm import components, dedup, language, mixing, packing, simhash
 from hyperloom.llm.rules import words_of
-from hyperloom.llm.shared import keep_ids, lookup, stored
+from hyperloom.llm.shared import keep_ids, lookup, small_batches, stored
 
 #: Copies of a document that one row of an intermediate result makes at most.
 CHUNK = 1024
@@ -35,6 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts are in none and go; null lang is no declaration, null sources are one host; equal rows get
     the same decision; long texts are read whole; an empty table stays empty.
     """
+    small_batches(spark)
     key = F.xxhash64("doc_id", "text", "lang", "source")
     found = language.identify(docs.select(key.alias("doc_id"), "text", "lang", "source"))
     return _without(docs, key, stored(found.where("NOT kept").select("doc_id").distinct(), "rejected"))
@@ -68,6 +69,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     group the row with the smallest doc_id stays (null last, then by a hash of the text). Null, empty and blank texts are
     one group. Rows equal in doc_id and text stay or go together. An empty table stays empty.
     """
+    small_batches(spark)
     key = F.xxhash64("doc_id", "text")
     own = docs.select(key.alias("doc_id"), "text")
     groups = stored(simhash.near_duplicates(own).select("doc_id", "component_id").distinct(), "near")

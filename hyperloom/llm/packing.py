@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import lean
+from .shared import lean, small_batches
 from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
 END_ID = 1
+#: Pieces that a task gives out at once, and bytes of their ids where these are asked for.
+ROWS, IDS = 20_000, 4 << 20
 #: A piece stays whole if its class would pad it by at most this share of the class's slot.
 PAD_SHARE = 1 / 128
 
@@ -36,15 +39,15 @@ def slots(capacity: int, share: float) -> list[list[int]]:
 
 class HarmonicBins:
     """Bins of one worker. Class k's pieces fill bins of k pieces each; what bins the end finds open is joined and
-    cut anew, so that a worker leaves at most one sequence short."""
+    cut anew, so that a worker leaves at most one sequence short. Of a closed bin's ids only ``shown`` of them is given out."""
 
-    def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.open = capacity, first, {}
+    def __init__(self, capacity: int, first: int, shown: Callable = bytes):
+        self.capacity, self.next, self.open, self.shown = capacity, first, {}, shown
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
         for doc, start, ids, total in pieces:
-            yield doc, start, ids, total, self.next, offset
+            yield doc, start, len(ids) // 4, zlib.crc32(ids), total, self.next, offset, self.shown(ids)
             offset += len(ids) // 4
         self.next += 1
 
@@ -81,6 +84,7 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, en
     repeated rows are documents of their own; a null doc_id is kept as null; other columns are ignored; an empty table
     gives no rows. Texts of any length are cut into full sequences and a rest.
     """
+    small_batches(docs.sparkSession)
     path = vocab or vocabulary()
     fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     fields += [("ids", pa.list_(pa.int64()))] if with_ids else []
@@ -88,10 +92,8 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, en
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        doc, start, ids, total, sequence, offset = columns
-        arrays = [doc, start, [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], total, sequence, offset]
-        arrays = [pa.array(a, pa.int64()) for a in arrays]
+        *columns, ids = zip(*rows)
+        arrays = [pa.array(c, pa.int64()) for c in columns]
         if with_ids:
             import numpy as np
 
@@ -102,17 +104,18 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, en
         from pyspark import TaskContext
 
         plans, end = slots(capacity, share), end_id.to_bytes(4, "little")
-        bins, coder, rows = HarmonicBins(capacity, TaskContext.get().partitionId() << 40), encoder(path), []
+        bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 40, bytes if with_ids else lambda ids: None)
+        coder, rows, most = encoder(path), [], max(1, min(ROWS, IDS // (4 * capacity))) if with_ids else ROWS
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                 ids = bytes(ids) + end
                 total, start = len(ids) // 4, 0
-                for n in [capacity] * (total // capacity) + plans[total % capacity]:
+                for n in chain(repeat(capacity, total // capacity), plans[total % capacity]):
                     rows.extend(bins.add(doc, start, ids[4 * start : 4 * (start + n)], total))
                     start += n
-                if len(rows) > 20_000:
-                    yield out(rows)
-                    rows = []
+                    if len(rows) >= most:
+                        yield out(rows)
+                        rows = []
         rows.extend(bins.finish())
         if rows:
             yield out(rows)

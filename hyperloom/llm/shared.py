@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import scratch, stored
 
-__all__ = ["HEAVY", "MOST_IDS", "SPACE", "WORD", "keep_ids", "lean", "let", "lookup", "scratch", "stored", "text_of", "trim"]
+__all__ = ["HEAVY", "MOST_IDS", "SPACE", "WORD", "keep_ids", "lean", "let", "lookup", "scratch", "small_batches", "stored", "text_of", "trim"]
 
 #: At most HEAVY keys can each hold more than 1/HEAVY of all rows, so a table of them is safe to broadcast.
 HEAVY = 10_000
 #: Most ids that are broadcast to filter rows; more go through a shuffle join.
 MOST_IDS = 1_000_000
+#: Bytes at which a batch of rows for a Python worker ends, with the row that reaches them.
+BATCH = 4 << 20
 #: The white space of the word rule: space and the characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +44,14 @@ def lean(run: Callable) -> Callable:
     return trimmed
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on a batch of long texts for a worker ends at BATCH bytes, unless the session has a bound of its own: executor
+    and worker each hold a batch or two for each task, outside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH))
+
+
 def text_of(name: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

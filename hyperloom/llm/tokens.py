@@ -16,7 +16,7 @@ LONG_WORD = 48
 #: Words remembered by a worker, at some 25 bytes each; at this number the memo starts anew.
 MEMO = 1 << 20
 #: Words that are encoded in one call, bytes of text that are split at once, and groups after which memory is given back.
-CALL, GROUP, TRIM = 1000, 2_000_000, 8
+CALL, GROUP, TRIM = 1000, 500_000, 32
 #: Marks that may follow a word and never join a letter or digit in one piece.
 MARKS = "!*#$%&.,|;:?()"
 #: Ends of words that stay letters or digits when lowered and normalised, so that marks after them are pieces apart.

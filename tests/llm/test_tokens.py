@@ -54,6 +54,18 @@ def test_packing(spark, tokenizer):
     assert packing.pack(awkward(spark)).where("doc_id IS NULL").count() == 2 and packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_holds_little_at_once(spark):
+    """Closed bins keep no ids, and batches of long texts end with the row that reaches a number of bytes."""
+    bins = packing.HarmonicBins(2048, 0, lambda ids: None)
+    closed = [p for i in range(50) for p in bins.add(i, 0, bytes(8192), 2048)]
+    assert len(closed) == 50 and {p[2:4] for p in closed} == {(2048, zlib.crc32(bytes(8192)))} and {p[7] for p in closed} == {None}
+    docs = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('ab cd ', IF(id = 9, 1000000, 50000)) AS text")
+    pieces = packing.pack(docs).groupBy("doc_id").sum("length").collect()
+    assert len(pieces) == 40 and len({p[1] for p in pieces}) == 2
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)], "b": [b.nbytes]}) for b in batches), "n long, b long").collect()
+    assert sum(r.n for r in sizes) == 40 and all(r.b < (4 << 20) + 6_100_000 for r in sizes) and len(sizes) > 2
+
+
 def test_class_plans_fill_bins():
     plans = packing.slots(2048, packing.PAD_SHARE)
     for rest, plan in enumerate(plans):
