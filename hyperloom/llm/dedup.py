@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import secrets
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,24 @@ def digest(text: str = "text"):
     return F.sha2(F.regexp_replace(text_of(text), SPACE + "+", "").cast("binary"), 256)
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session hasn't been stopped
+        spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+
 class DigestIndex:
     """A table of the digests seen so far, bucketed and sorted by digest, in the session's warehouse.
 
     A batch meets it in a sort-merge join that reads the index as it lies: the index is never shuffled again, and after
     ``compact``, which writes one file a bucket, not sorted again either. ``compact`` also changes the number of buckets.
+    An index without a name of the caller's is deleted with its object, so that a job that fails leaves none behind.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{secrets.token_hex(8)}"
+        if not name:
+            weakref.finalize(self, _forget, spark, self.name).atexit = False
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # where a bucket is one file
         if not spark.catalog.tableExists(self.name) and spark.catalog.tableExists(f"{self.name}_compact"):

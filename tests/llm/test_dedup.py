@@ -34,6 +34,15 @@ def test_exact_classes(spark):
     assert dedup.DigestIndex(spark).deduplicate(empty(spark)).count() == 0
 
 
+def test_index_without_a_name_goes_with_its_object(spark):
+    index = dedup.DigestIndex(spark)
+    name, docs = index.name, awkward(spark)
+    found = index.deduplicate(docs)
+    assert spark.catalog.tableExists(name)
+    del index
+    assert not spark.catalog.tableExists(name) and found.count() == docs.count()
+
+
 def test_index_persists_over_batches(spark):
     a = spark.createDataFrame([(5, "one", None, None, 0), (6, "two", None, None, 0)], SCHEMA)
     b = spark.createDataFrame([(1, "o n e", None, None, 0), (2, "three", None, None, 0)], SCHEMA)
